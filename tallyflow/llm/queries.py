@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe, chat, decontam, secret_scan, simhash
+from tallyflow.llm import bpe, chat, decontam, secret_scan, simhash, tokenfile, warc
 from tallyflow.llm.common import table
 
 
@@ -23,6 +23,16 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = tokenfile.write(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return tokenfile.digest(folder, manifest)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.digest(warc.captures(warc.records(folder, manifest)))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -37,7 +47,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_simhash, op8_chat, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op3_simhash, op4_token_files, op6_warc, op8_chat, op9_secrets, op10_decontamination)}
 
 _SQL8 = r"""
 WITH rows AS (
