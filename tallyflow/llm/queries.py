@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import bpe, chat, decontam, secret_scan, simhash, tokenfile, warc
+from tallyflow.llm import ann, bpe, chat, decontam, langid, secret_scan, simhash, tokenfile, warc
 from tallyflow.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~langid.held_out())
+    return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -28,6 +34,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.digest(folder, manifest)
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ann.valid_vectors(table(spark, sf_dir, "embeddings"))
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = warc.write(table(spark, sf_dir, "pages"))
     return warc.digest(warc.captures(warc.records(folder, manifest)))
@@ -47,7 +58,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_simhash, op4_token_files, op6_warc, op8_chat, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_simhash, op4_token_files, op5_neighbours, op6_warc, op8_chat, op9_secrets, op10_decontamination)}
 
 _SQL8 = r"""
 WITH rows AS (
