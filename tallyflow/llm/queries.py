@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.llm import ann, bpe, chat, decontam, langid, secret_scan, simhash, tokenfile, warc
-from tallyflow.llm.common import table
+from tallyflow.llm import ann, bpe, chat, decontam, langid, ppm, secret_scan, simhash, tokenfile, warc
+from tallyflow.llm.common import crc_mod_col, table
 
 
 def _vocabulary(name: str) -> str:
@@ -44,6 +44,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.captures(warc.records(folder, manifest)))
 
 
+def op7_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = crc_mod_col("doc_id", 7) == 2
+    scored = ppm.score(docs, ppm.train(docs, ~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -58,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_simhash, op4_token_files, op5_neighbours, op6_warc, op8_chat, op9_secrets, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_language, op3_simhash, op4_token_files, op5_neighbours, op6_warc, op7_ppm, op8_chat, op9_secrets, op10_decontamination)}
 
 _SQL8 = r"""
 WITH rows AS (
