@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from tallyflow.llm.common import slices, text_bytes, written
 
-ORDER = 4
+ORDER = 5
 END = 0xFF
-MAX_NODES, MAX_WORDS = 1 << 21, 1 << 17
+MAX_NODES, MAX_WORDS = 3 << 19, 1 << 17
 #: Bytes of text scored at once.
 SLICE = 1 << 20
 #: Distinct words or n-grams that a task holds before it passes its counts on.
@@ -76,7 +76,7 @@ class Table:
     """Open-addressing hash table from distinct integers to their positions."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.bits = max(4, int(1.5 * len(keys)).bit_length())
         self.slots = np.full(1 << self.bits, _EMPTY, np.uint64)
         self.at = np.zeros(1 << self.bits, np.int32)
         left, h = np.arange(len(keys)), self._hash(keys)
@@ -122,12 +122,11 @@ class Level:
 
 
 class Trie:
-    def __init__(self, keys: np.ndarray, n: np.ndarray):
-        """From (ORDER + 1)-grams and their counts."""
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
+        """From n-grams and their counts, for n from 1 to ORDER + 1; an n-gram's ending must be an (n - 1)-gram."""
         self.levels: list[Level] = []
-        keys, n = keys.astype(np.uint64), n.astype(np.int64)
-        for k in range(ORDER + 1):
-            own, count = counted(keys & np.uint64((1 << (8 * (k + 1))) - 1), n)
+        for k, (keys, n) in enumerate(nodes):
+            own, count = counted(keys.astype(np.uint64), n.astype(np.int64))
             contexts, total = counted(own >> np.uint64(8), count)
             _, distinct = counted(own >> np.uint64(8))
             parent_total, parent_distinct = total, distinct
@@ -139,9 +138,9 @@ class Trie:
                 parent_total, parent_distinct = low.total[parent] - excluded, low.distinct[parent] - distinct
             self.levels.append(Level(Table(own), count, Table(contexts), total, distinct, parent_total, parent_distinct))
         top = self.levels[-1]
-        context = top.contexts.find(counted(keys)[0] >> np.uint64(8))
+        context = top.contexts.find(own >> np.uint64(8))
         #: Most bytes are found in their longest context: one look-up.
-        self.direct = np.log10(top.count / (top.total + top.distinct)[context]) if len(keys) else np.zeros(0)
+        self.direct = np.log10(top.count / (top.total + top.distinct)[context]) if len(own) else np.zeros(0)
 
     def log10(self, keys: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each (ORDER + 1)-gram after the others."""
@@ -273,9 +272,14 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text") -> Model
     least = least_count(word_counts, MAX_WORDS)
     some = word_counts.where(F.col("n") >= least).toArrow()
     frequent = dict(zip((bytes(w) for w in some.column("word").to_pylist()), np.log10(some.column("n").to_numpy() + 1.0).tolist()))
-    nodes = gram_counts.where(F.col("n") >= least_count(gram_counts, MAX_NODES)).toArrow()
+    # shorter n-grams are the endings of the longest: every byte has a whole context, thanks to the padding
+    ending = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
+    sizes = F.explode(F.array(*(F.struct(F.lit(k).alias("size"), ending(k).alias("gram")) for k in range(1, ORDER + 2))))
+    all_nodes = written(gram_counts.select("n", sizes.alias("x")).groupBy("x.size", "x.gram").agg(F.sum("n").alias("n")), "trie-nodes")
+    nodes = all_nodes.where(F.col("n") >= least_count(all_nodes, MAX_NODES)).toArrow()
+    size_of, gram_of, n_of = (nodes.column(c).to_numpy() for c in ("size", "gram", "n"))
     size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    trie = Trie(nodes.column("gram").to_numpy(), nodes.column("n").to_numpy())
+    trie = Trie([(gram_of[size_of == k], n_of[size_of == k]) for k in range(1, ORDER + 2)])
     return Model(trie, frequent, least, word_counts, size["n"] + ends, size["v"] + (ends > 0), ends)
 
 
