@@ -201,3 +201,21 @@ def digest(found: DataFrame) -> DataFrame:
     ends = F.aggregate("bounds", F.struct(F.lit(0).cast("long").alias("s"), F.lit(-1).alias("sign")), lambda a, x: F.struct((a["s"] + a["sign"] * x).alias("s"), (-a["sign"]).alias("sign")), lambda a: a["s"])
     return found.select("doc_id", "n_words", ends.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("bounds") > 0).alias("contaminated"))
 
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents without a hit; all their columns stay. Narrow: one filter for each block of items."""
+
+    def filtered(index: ItemIndex):
+        def make():
+            def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+                return batch.filter(pa.array([index.hits(words(t))[0] is None for t in text_bytes(batch.column(text_col))], pa.bool_()))
+
+            return part
+
+        return make
+
+    schema = docs.schema
+    for index in item_blocks(benchmark, block_words=block_words):
+        docs = map_text(docs, filtered(index), schema, text_col)
+    return docs
