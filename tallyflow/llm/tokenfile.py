@@ -22,6 +22,7 @@ first; other columns are ignored; an empty table gives no file and no rows.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
@@ -31,10 +32,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyflow.llm.bpe import byte_symbols
 from tallyflow.llm.common import filesystem, shared_folder, slices, written
 
 MAGIC, TAIL = b"TFPL0001", b"TFPLEND1"
@@ -131,8 +134,9 @@ class Reader:
 class PieceEncoder:
     """The library's ids of whole texts, from those of their white-space separated pieces.
 
-    Holds for vocabularies whose normaliser and splitter drop white space and never look across it; each piece, special tokens
-    included, is encoded by the library itself, once while it is in the table."""
+    Holds for vocabularies whose normaliser and splitter drop white space and never look across it. Pieces are encoded by the
+    library once while they are in the table. Where normalising is lower-casing alone (Latin-1 without special tokens), case is
+    folded first and the library's BPE model is given the words of a piece; any other piece goes to the library as it is."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,27 +145,63 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        normal, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        kinds = [x["type"] for x in normal.get("normalizers", [])]
+        folds = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and not spec["post_processor"]
+        self.pattern = regex.compile(split[0]["pattern"]["Regex"]) if folds else None
+        #: Not for the short way: white space that splitters differ on, and the beginnings of special tokens.
+        self.odd = regex.compile("|".join(["[\x1c-\x1f\x85\xa0]", *(regex.escape(x["content"][:2]) for x in spec["added_tokens"])]))
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+
+    def cut(self, text: str) -> list[str]:
+        if self.pattern is not None and not self.odd.search(text):
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                return text.lower().split()
+        return text.translate(_SPACES).split(" ")
+
+    def _is_latin(self, piece: str) -> bool:
+        try:
+            piece.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return self.pattern is not None and not self.odd.search(piece) and piece == piece.lower()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.translate(_SPACES).split(" ") if "\n" in t or "\t" in t or "\r" in t else t.split(" ") for t in texts]
+        cut = list(map(self.cut, texts))
         pieces = set().union(*cut)
         if len(self.words) + len(pieces) > CACHE_WORDS // 2:
-            self.older, self.words = self.words, {"": b""}
-        words, new = self.words, []
+            self.older, self.words, self.parts = self.words, {"": b""}, {}
+        words, whole = self.words, []
         for p in pieces.difference(words):
-            if (ids := self.older.get(p)) is None:
-                new.append(p)
-            else:
+            if (ids := self.older.get(p)) is not None:
                 words[p] = ids
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, x in zip(part, self.library.encode_batch(part, add_special_tokens=False)):
-                words[p] = struct.pack(f"<{len(x.ids)}I", *x.ids)
+            elif self._is_latin(p):
+                words[p] = b"".join(map(self._part, self.pattern.findall(p)))
+            else:
+                whole.append(p)
+        for i in range(0, len(whole), 4096):
+            some = whole[i : i + 4096]
+            for p, x in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
+                words[p] = np.array(x.ids, "<u4").tobytes()
         get = words.__getitem__
         return [b"".join(map(get, c)) for c in cut]
 
+    def _part(self, word: str) -> bytes:
+        if (ids := self.parts.get(word)) is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            ids = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+        return ids
+
 
 @lru_cache(1)
 def piece_encoder(path: str) -> PieceEncoder:
@@ -170,6 +210,7 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 def _write(folder: str, vocabulary: str, end_id: int | None, unit: str, block_ids: int):
     def run(batches):
+        gc.disable()  # large tables without cycles
         encoder, end, writer, first = piece_encoder(vocabulary), b"" if end_id is None else struct.pack("<I", end_id), None, None
         fs, base = filesystem(folder)
         name = f"{uuid.uuid4().hex}.tfpl"
@@ -222,7 +263,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _with_starts(manifest: DataFrame) -> DataFrame:
     """One row a file, each to be read by its own task. The window without partitions has as many rows as there are files."""
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition("file")
+    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition(max(1, manifest.count()))
 
 
 def read(folder: str, manifest: DataFrame) -> DataFrame:
