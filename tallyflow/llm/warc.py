@@ -175,7 +175,7 @@ def _parse_files(folder: str, with_payload: bool):
 
 def records(folder: str, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Request, response, revisit and metadata records of the archives, a row each."""
-    return manifest.select("file").repartition("file").mapInArrow(_parse_files(folder, with_payload), RECORD)
+    return manifest.select("file").repartition(max(1, manifest.count())).mapInArrow(_parse_files(folder, with_payload), RECORD)
 
 
 def captures(found: DataFrame) -> DataFrame:
