@@ -188,7 +188,7 @@ def _scan_keyed(index: ItemIndex, id_col: str, text_col: str):
 
 def _merge(first: list[int], others: list[list[int]]) -> list[int]:
     out: list[int] = []
-    for a, b in sorted((x[i], x[i + 1]) for x in [first, *others] for i in range(0, len(x), 2)):
+    for a, b in sorted((x[i], x[i + 1]) for x in [first, *(others or [])] for i in range(0, len(x), 2)):
         if out and a <= out[-1]:
             out[-1] = max(out[-1], b)
         else:

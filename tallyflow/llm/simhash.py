@@ -6,8 +6,8 @@ all of them: every pair within the radius meets in some table, without exception
 
 Distinct fingerprints only are tabled (copies collapse first). A bucket's links are cut down to a spanning forest where they are
 found, so at most one link leaves for each fingerprint and table. Buckets of over HOT fingerprints are dealt again by a second
-covering family over the bits that the first left free; what the two leave free is at most 15 bits, so such a bucket holds at most
-2^15 fingerprints whatever the data. No bucket is capped.
+covering family over the bits that the first left free; what the two leave free is at most 16 bits, so such a bucket holds at most
+2^16 fingerprints whatever the data. No bucket is capped.
 
 Defined results: a null, empty or wordless text has fingerprint zero and is linked like any other; under three words the whole
 sequence is the one shingle; repeated documents share a component; null ids take part but are never a component's id (a component
