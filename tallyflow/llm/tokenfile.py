@@ -198,7 +198,7 @@ class PieceEncoder:
 
     def _part(self, word: str) -> bytes:
         if (ids := self.parts.get(word)) is None:
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
             ids = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return ids
 
