@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -13,35 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyflow.sources.shared import shared_folder, written
+
 #: Bytes of text that a Python worker handles at once (one text may be larger).
 SLICE_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir")
-    if at:
-        return at.rstrip("/")
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tallyflow-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+__all__ = ["crc_mod", "crc_mod_col", "filesystem", "map_text", "shared_folder", "slices", "table", "text_bytes", "written"]
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under the shared root."""
-    return f"{shared_root(spark)}/tallyflow-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, survives lost executors."""
-    at = shared_folder(df.sparkSession, name)
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def filesystem(uri: str):
