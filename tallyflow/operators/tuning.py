@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,19 @@ def calibration(emails: DataFrame, configs: list[Config], size: int = 1) -> Data
     return one.select(*KEYS, "brier_score", metrics.brier_skill(F.col("brier_score"), F.col("_rate")).alias("brier_score_scaled"), "log_loss")
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """A grid's predictions or results as a table, for several reports."""
-    return written(df, name)
+def best_by_f05(swept: DataFrame, digits: int = 9) -> DataFrame:
+    """The row of largest F0.5 of each classifier, the first in grid order of equals."""
+    best = Window.partitionBy("classifier").orderBy(F.desc(F.round("f05", digits)), "ngram", "log_buckets", "num_hashes")
+    return swept.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
+
+
+def timing(emails: DataFrame, configs: list[Config], size: int = 200, hash_mode: str = "xxhash") -> DataFrame:
+    """Configuration, total_time_s, time_per_email_ms of test-then-train over the stream, one configuration after the other."""
+    stream = written(splits.windows(emails, size), "timed")
+    n, rows = stream.count(), []
+    for c in configs:
+        began = time.perf_counter()
+        cumulative(models.score(stream, [c], hash_mode=hash_mode), KEYS).write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        rows.append((c.classifier, c.ngram, c.log_buckets, c.num_hashes, took, 1000 * took / max(n, 1)))
+    return emails.sparkSession.createDataFrame(rows, "classifier string, ngram int, log_buckets int, num_hashes int, total_time_s double, time_per_email_ms double")

@@ -221,6 +221,7 @@ SQL: dict[str, str] = {
     "pivot_sweep": f"{_SWEEP} SELECT classifier, ngram, round(avg(accuracy) FILTER (WHERE log_buckets = 10), 9) AS b10, round(avg(accuracy) FILTER (WHERE log_buckets = 12), 9) AS b12 FROM sw GROUP BY classifier, ngram",
     "sweep_mean_std": f"{_SWEEP} {_DIMS}",
     "best_config": f"{_SWEEP} SELECT 'best' AS kind, * FROM (SELECT {_KEYS}, round(accuracy, 9) AS accuracy FROM sw ORDER BY round(accuracy, 9) DESC, {_ORDER} LIMIT 1) UNION ALL SELECT 'worst', * FROM (SELECT {_KEYS}, round(accuracy, 9) AS accuracy FROM sw ORDER BY round(accuracy, 9), {_ORDER} LIMIT 1)",
+    "grid_search_f05": f"{_SWEEP} SELECT {_KEYS}, {_rounded(_RATE)} FROM sw QUALIFY row_number() OVER (PARTITION BY classifier ORDER BY round(f05, 9) DESC, ngram, log_buckets, num_hashes) = 1",
     "config_report": f"{_SWEEP} SELECT CASE classifier WHEN 'FH' THEN 'FH n=' || ngram || ' b=2^' || log_buckets ELSE 'CM n=' || ngram || ' b=2^' || log_buckets || ' d=' || num_hashes END AS label, {_KEYS}, 1::BIGINT << log_buckets AS buckets, (1::BIGINT << log_buckets) * greatest(num_hashes, 1) AS dimension FROM sw WHERE num_hashes = 3 OR classifier = 'FH'",
     "calibration": f"{scores([FH, CM], size=1)}, x AS (SELECT {_KEYS}, {_BRIER} FROM p GROUP BY {_KEYS}) SELECT {_KEYS}, {_BRIER_OUT} FROM x",
     "curve_auc": f"{_FH_FOLDS}, {_roc('slot')}, {_THIN.format('PARTITION BY slot ', 'slot, ')}, z AS (SELECT slot, {_RATE['fpr']}::DOUBLE AS f, {_R}::DOUBLE AS t FROM cp), zz AS (SELECT slot, (f - lag(f, 1, 0) OVER w) * (t + lag(t, 1, 0) OVER w) / 2 AS s FROM z WINDOW w AS (PARTITION BY slot ORDER BY f, t)) SELECT slot AS fold, round(sum(s), 9) AS auc FROM zz GROUP BY slot",

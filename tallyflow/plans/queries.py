@@ -269,6 +269,11 @@ def best_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("kind", *KEYS, F.round("accuracy", 9).alias("accuracy"))
 
 
+def grid_search_f05(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = tuning.best_by_f05(_sweep(spark, sf_dir))
+    return b.select(*KEYS, *(F.round(r, 9).alias(r) for r in metrics.RATES))
+
+
 def config_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels, sizes and the sketches only, by semi join."""
     s = _sweep(spark, sf_dir)
@@ -308,7 +313,7 @@ _ALL: tuple[Query, ...] = (
     cm_overestimate_check, collision_rate, nb_fh_prequential, nb_cm_prequential, nb_fh_window_one, nb_fh_in_sample, nb_cm_in_sample, nb_fh_folds,
     nb_warm_split, nb_murmur_prequential, score_unlabelled, classify, confusion, fbeta, brier_logloss, stream_metrics, stream_roc, stratified_split,
     split_profile, kfold_assign, roc_points, roc_points_grouped, curve_points, threshold_sweep, best_threshold, cv_metrics, cv_average, select_best,
-    parameter_search, dev_test_gap, learning_curves, parameter_sweep, pivot_sweep, sweep_mean_std, best_config, config_report, calibration, curve_auc,
+    parameter_search, dev_test_gap, learning_curves, parameter_sweep, pivot_sweep, sweep_mean_std, best_config, grid_search_f05, config_report, calibration, curve_auc,
     space_usage, streaming_prequential,
 )
 

@@ -111,3 +111,10 @@ def test_stratified_split_is_disjoint_and_whole(spark):
     assert n[1, "dev"] == math.floor(0.8 * 11) and n[0, "dev"] == math.floor(0.8 * 32) and sum(n.values()) == 43
     assert s.where("split = 'dev'").select("doc_id").intersect(s.where("split = 'test'").select("doc_id")).count() == 0
     assert max(r.seq for r in s.where("split = 'dev' AND spam = 1").collect()) < min(r.seq for r in s.where("split = 'test' AND spam = 1").collect())
+
+
+def test_timing_has_a_row_for_each_configuration(spark):
+    from tallyflow.operators import tuning
+
+    rows = tuning.timing(emails(spark, STREAM), [Config("FH", 1, 4), Config("CM", 1, 4, 2)]).collect()
+    assert [r.classifier for r in rows] == ["FH", "CM"] and all(r.total_time_s > 0 and r.time_per_email_ms == pytest.approx(250 * r.total_time_s) for r in rows)
