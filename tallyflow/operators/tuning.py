@@ -58,7 +58,7 @@ def evaluated(emails: DataFrame, final: DataFrame, configs: list[Config], dev: D
     """final's rows with test metrics at their thresholds. Cold start: the model begins empty and learns the test emails one by one; with
     `dev`, it is trained on those and doesn't learn on."""
     if dev is None:
-        order = splits.with_sequence(emails.drop("seq").withColumnRenamed("doc_id", "doc_id"), "doc_id")
+        order = splits.with_sequence(emails.drop("seq"), "doc_id")
         preds = models.score(splits.windows(order, 1), configs)
     else:
         both = emails.withColumn("trains", F.lit(False)).unionByName(dev.withColumn("trains", F.lit(True))).withColumn("slot", F.lit(0).cast("long"))
@@ -72,9 +72,10 @@ def evaluated(emails: DataFrame, final: DataFrame, configs: list[Config], dev: D
 
 def learning_curves(emails: DataFrame, configs: list[Config], sizes: list[int]) -> DataFrame:
     """window, configuration, step, num_examples and rates for each window size. N-grams are taken and hashed once for all sizes."""
-    out = None
+    each = emails.withColumns({"slot": F.col("seq"), "trains": F.lit(True)})
+    occ, out = written(models.occurrences(each, max(c.ngram for c in configs), configs), "occurrences"), None
     for size in sizes:
-        preds = models.score(splits.windows(emails, size), configs)
+        preds = models.score(splits.windows(emails, size), configs, occ=occ.withColumn("slot", F.floor(F.col("slot") / size).cast("long")))
         rows = cumulative(preds, KEYS).select(F.lit(size).alias("window"), *KEYS, F.col("slot").alias("step"), "num_examples", *metrics.RATES)
         out = rows if out is None else out.unionByName(rows)
     return out
