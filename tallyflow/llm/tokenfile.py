@@ -180,13 +180,15 @@ class PieceEncoder:
         cut = list(map(self.cut, texts))
         pieces = set().union(*cut)
         if len(self.words) + len(pieces) > CACHE_WORDS // 2:
-            self.older, self.words, self.parts = self.words, {"": b""}, {}
+            self.older, self.words = self.words, {"": b""}
+        if len(self.parts) > CACHE_WORDS:
+            self.parts = {}
         words, whole = self.words, []
         for p in pieces.difference(words):
             if (ids := self.older.get(p)) is not None:
                 words[p] = ids
             elif self._is_latin(p):
-                words[p] = b"".join(map(self._part, self.pattern.findall(p)))
+                words[p] = self._part(p) if p.isalpha() else b"".join(map(self._part, self.pattern.findall(p)))
             else:
                 whole.append(p)
         for i in range(0, len(whole), 4096):
