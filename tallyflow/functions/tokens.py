@@ -31,7 +31,10 @@ def word(body: Column, i: int) -> Column:
 
 
 def num_words(body: Column) -> Column:
-    return F.size(elements(body)).cast("long")
+    """One more than the separators before the last character; 0 for an empty or null body."""
+    inner = _without_end(body)
+    seps = F.char_length(inner) - F.char_length(F.translate(inner, " \n", ""))
+    return F.when(F.coalesce(F.char_length(body), F.lit(0)) == 0, F.lit(0)).otherwise(seps + 1).cast("long")
 
 
 def ngram(els: Column, i: Column, k: Column) -> Column:

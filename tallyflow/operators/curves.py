@@ -11,13 +11,17 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import metrics
 from tallyflow.operators.running import ranked_running
+from tallyflow.sources.shared import written
 
 #: The threshold grid 0.10, 0.11, ... 0.89.
 THRESHOLDS = [i / 100 for i in range(10, 90)]
 
 
 def roc_points(preds: DataFrame, keys: list[str], tie_mode: str = "row") -> DataFrame:
-    """keys, doc_id, spam, score, rn, tp, fp, positives, negatives, tpr, fpr, precision. Rates are null where a class is empty."""
+    """keys, doc_id, spam, score, rn, tp, fp, positives, negatives, tpr, fpr, precision. Rates are null where a class is empty.
+
+    Predictions, a short row for each email, are written once: several sums are taken of them."""
+    preds = written(preds.select(*keys, "doc_id", "spam", "score"), "predictions")
     sizes = preds.groupBy(*keys).agg(F.sum("spam").alias("positives"), F.sum(1 - F.col("spam")).alias("negatives"))
     if tie_mode == "row":
         points = ranked_running(preds.select(*keys, "doc_id", "spam", "score", (1 - F.col("spam")).alias("ham")), keys, "score", "doc_id", ["spam", "ham"])
@@ -36,6 +40,7 @@ def cv_metrics(preds: DataFrame, keys: list[str], tie_mode: str = "row") -> Data
 
     AUC by trapezoids from (0, 0); recall at a false positive rate is that of the first point that reaches it; with one class only all but
     the Brier score are 0."""
+    preds = written(preds.select(*keys, "doc_id", "spam", "score"), "predictions")
     p = roc_points(preds, keys, tie_mode)
     tpr, fpr = F.col("tpr"), F.col("fpr")
     back_t, back_f = (F.col("tp") - F.col("spam")) / F.nullif(F.col("positives"), F.lit(0)), (F.col("fp") - F.col("ham")) / F.nullif(F.col("negatives"), F.lit(0))

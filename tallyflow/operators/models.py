@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.functions import hashing, tokens
-from tallyflow.operators.running import before_slot
+from tallyflow.operators.running import before_slot, dealt
 
 MODES = ("prequential", "folds", "in_sample", "split")
 CONFIG = ("classifier", "ngram", "log_buckets", "num_hashes")
@@ -48,12 +48,18 @@ def grid(ngrams: list[int], log_buckets: list[int], num_hashes: list[int]) -> li
 
 
 def occurrences(emails: DataFrame, n: int, configs: list[Config], hash_mode: str = "md5") -> DataFrame:
-    """doc_id, spam, slot, trains, k, ng, tf, fh, cm: each n-gram of an email once, with the hashes that the configurations need."""
+    """doc_id, spam, slot, trains, k, ng, tf, fh, cm: each n-gram of an email once, with the hashes that the configurations need.
+
+    Bodies are dealt out by doc_id: they are smaller than their n-grams, which then are counted where they are made. If feature hashing
+    alone is wanted, n-grams count by their hashes and ng is absent (an Arrow hash is taken of distinct n-grams all the same)."""
     keep = ("doc_id", "spam", "slot", "trains")
-    tf = tokens.ngrams(emails, n, keep=keep).groupBy(*keep, "k", "ng").agg(F.count("*").alias("tf"))
+    rows = tokens.ngrams(dealt(emails.select(*keep, "body")), n, keep=keep)
     depth = max((c.num_hashes for c in configs), default=0)
+    if configs and not depth and hash_mode != "murmur":
+        return rows.groupBy(*keep, "k", hashing.feature_hash(F.col("ng"), hash_mode)[0].alias("fh")).agg(F.count("*").alias("tf"))
+    tf = rows.groupBy(*keep, "k", "ng").agg(F.count("*").alias("tf"))
     if any(c.classifier == "FH" for c in configs):
-        tf = tf.withColumn("fh", hashing.feature_hash(F.col("ng"), hash_mode))
+        tf = tf.withColumn("fh", hashing.feature_hash(F.col("ng"), hash_mode)[0])
     return tf.withColumn("cm", hashing.sketch_hashes(F.col("ng"), depth, hash_mode)) if depth else tf
 
 
@@ -63,6 +69,11 @@ def _tables(configs: list[Config], classifier: str) -> list[tuple[int, int, list
     return [(n, b, [d for *_, d in g]) for (n, b), g in groupby(own, key=lambda x: x[:2])]
 
 
+def _known(c: Column, default: int) -> Column:
+    """c without nulls. Catalyst then has no null check to push into one use of a plan alone, and both uses share its exchanges."""
+    return F.coalesce(c, F.lit(default).cast("long"))
+
+
 def units(occ: DataFrame, configs: list[Config], classifier: str) -> DataFrame:
     """The counters that emails touch: t (number of the shared table), doc_id, spam, slot, trains, ng, i, bucket, tf.
 
@@ -70,10 +81,10 @@ def units(occ: DataFrame, configs: list[Config], classifier: str) -> DataFrame:
     tables = _tables(configs, classifier)
     base = ["doc_id", "spam", "slot", "trains"]
     if classifier == "FH":
-        wide = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), hashing.bucket(F.col("fh")[0], b).alias("bucket")) for t, (n, b, _) in enumerate(tables))))
+        wide = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), _known(hashing.bucket(F.col("fh"), b), 0).alias("bucket")) for t, (n, b, _) in enumerate(tables))))
         rows = occ.select(*base, "k", "tf", wide.alias("x")).where("k <= x.n")
         return rows.groupBy(F.col("x.t").alias("t"), *base, F.lit(0).alias("i"), F.col("x.bucket").alias("bucket")).agg(F.sum("tf").alias("tf")).withColumn("ng", F.lit(None).cast("string"))
-    cells = [F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), F.lit(i).alias("i"), hashing.bucket(F.col("cm")[i], b).alias("bucket")) for t, (n, b, ds) in enumerate(tables) for i in range(max(ds))]
+    cells = [F.struct(F.lit(t).alias("t"), F.lit(n).alias("n"), F.lit(i).alias("i"), _known(hashing.bucket(F.col("cm")[i], b), 0).alias("bucket")) for t, (n, b, ds) in enumerate(tables) for i in range(max(ds))]
     rows = occ.select(*base, "k", "tf", "ng", F.explode(F.array(*cells)).alias("x")).where("k <= x.n")
     return rows.select("x.t", *base, "ng", "x.i", "x.bucket", "tf")
 
@@ -154,12 +165,18 @@ def posterior(ll: Column, grams: Column, log_buckets: Column, ns: Column, nh: Co
 def score(emails: DataFrame, configs: list[Config], mode: str = "prequential", slots: int | None = None, hash_mode: str = "md5", digits: int | None = 6, occ: DataFrame | None = None) -> DataFrame:
     """classifier, ngram, log_buckets, num_hashes, doc_id, seq, spam, slot, score of every email (mode "split": of those that don't train).
 
-    emails: doc_id, seq, body, spam (0 or 1), slot; optional boolean trains. Emails without n-grams are scored by the prior."""
+    emails: doc_id, seq, body, spam (0 or 1), slot; optional boolean trains. Emails without n-grams are scored by the prior; a null slot
+    comes before all others. `slots` bounds the slot numbers (found if not given): few need no segments of running totals."""
     if "trains" not in emails.columns:
         emails = emails.withColumn("trains", F.lit(True))
+    emails = emails.withColumn("slot", _known(F.col("slot"), -1))
+    if mode == "prequential" and slots is None:
+        slots = (emails.agg(F.max("slot")).first()[0] or 0) + 1
     emails = emails.withColumn("words", tokens.num_words(F.col("body")))
     if occ is None:
         occ = occurrences(emails, max(c.ngram for c in configs), configs, hash_mode)
+    else:
+        occ = occ.withColumn("slot", _known(F.col("slot"), -1))
     ll = likelihoods(occ, configs, mode, slots)
     known = totals(emails, sorted({c.ngram for c in configs}), mode, slots)
     each = F.explode(F.array(*(F.struct(*(F.lit(getattr(c, a)).alias(a) for a in CONFIG)) for c in configs)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,15 +16,20 @@ SEGMENT = 4096
 def with_sequence(df: DataFrame, *order: Column | str, name: str = "seq") -> DataFrame:
     """df with its 0-based position in the order (which must be total).
 
-    Rows are range-partitioned and sorted; a row's position is that in its partition plus the sizes of those before, so the one
-    window without partitions has a row for each partition. The numbered rows are written once, so that positions stay what they
-    are whatever is recomputed."""
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    Rows are range-partitioned and sorted; a row's position is that in its partition plus the sizes of those before: one number for
+    each partition, which the driver adds up. The numbered rows are written once, so that positions stay what they are whatever is
+    recomputed."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
     local = F.monotonically_increasing_id()
-    numbered = written(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))), "sequence")
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = numbered.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_at")).alias(name))
+    numbered = written(ranges.withColumn("_part", F.spark_partition_id()).withColumn("_at", local.bitwiseAND(F.lit((1 << 33) - 1))), "sequence")
+    sizes = {r["_part"]: r["count"] for r in numbered.groupBy("_part").count().collect()}
+    before = [0, *accumulate(sizes.get(p, 0) for p in range(max(sizes, default=0)))]
+    return numbered.select(*df.columns, (F.get(F.array(*(F.lit(n).cast("long") for n in before)), F.col("_part")) + F.col("_at")).alias(name))
+
+
+def dealt(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """df by hash of key over as many partitions as shuffles have, however few bytes they hold: for rows that expand."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def before_slot(df: DataFrame, keys: list[str], slot: str, values: list[str], slots: int | None = None, segment: int = SEGMENT) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyflow.functions import hashing, metrics, tokens
 from tallyflow.operators import curves, models, reports, splits, tuning
 from tallyflow.operators.models import Config
+from tallyflow.operators.running import dealt
 from tallyflow.plans.inputs import emails, table
 from tallyflow.sources import corpus
 from tallyflow.sources.shared import shared_folder, written
@@ -54,7 +55,7 @@ def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngram_length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tokens.ngrams(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body")), 3)
+    g = tokens.ngrams(dealt(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))), 3)
     per = g.groupBy("k", "ng").agg(F.count("*").alias("n"))
     return per.groupBy(F.col("k").cast("long").alias("k")).agg(F.sum("n").alias("ngrams"), F.count("*").alias("distinct_ngrams"), F.sum(F.col("n") * F.char_length("ng")).cast("long").alias("chars"))
 
