@@ -22,6 +22,8 @@ from tallyflow.functions import hashing, tokens
 from tallyflow.operators.running import before_slot, dealt
 
 MODES = ("prequential", "folds", "in_sample", "split")
+#: Counters (about 60 bytes each) that are sent to all executors.
+BROADCAST_ROWS = 1 << 20
 CONFIG = ("classifier", "ngram", "log_buckets", "num_hashes")
 
 
@@ -106,15 +108,20 @@ def _states(sums: DataFrame, keys: list[str], values: list[str], mode: str, slot
     raise ValueError(mode)
 
 
-def _lookups(cells: DataFrame, mode: str, slots: int | None) -> DataFrame:
-    """cells with the counters s, h that their emails see."""
+def _sized(df: DataFrame, most: int) -> DataFrame:
+    """df, which has at most `most` rows, for a join: sent to all if those are few, else dealt out by the join's key."""
+    return F.broadcast(df) if most <= BROADCAST_ROWS else df.hint("merge")
+
+
+def _lookups(cells: DataFrame, mode: str, slots: int, buckets: int) -> DataFrame:
+    """cells with the counters s, h that their emails see; buckets: how many all tables have."""
     sums = counters(cells)
     keys = ["t", "i", "bucket"]
     if mode == "split":
         state = sums.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("h").alias("h"))
-        found = cells.where(~F.col("trains")).join(state, keys, "left")
+        found = cells.where(~F.col("trains")).join(_sized(state, buckets), keys, "left")
     else:
-        found = cells.join(_states(sums, keys, ["s", "h"], mode, slots), [*keys, "slot"], "left")
+        found = cells.join(_sized(_states(sums, keys, ["s", "h"], mode, slots), buckets * slots), [*keys, "slot"], "left")
     return found.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("s", "h")})
 
 
@@ -122,14 +129,15 @@ def _log_ratio(tf: Column, s: Column, h: Column) -> Column:
     return tf * (F.ln(h + 1) - F.ln(s + 1))
 
 
-def likelihoods(occ: DataFrame, configs: list[Config], mode: str, slots: int | None) -> DataFrame:
+def likelihoods(occ: DataFrame, configs: list[Config], mode: str, slots: int) -> DataFrame:
     """classifier, ngram, log_buckets, num_hashes, doc_id, ll: sum of tf (ln(h + 1) - ln(s + 1)); emails without n-grams are absent."""
     parts = []
     for classifier in ("FH", "CM"):
         tables = _tables(configs, classifier)
         if not tables:
             continue
-        found = _lookups(units(occ, configs, classifier), mode, slots)
+        buckets = sum(max(1, *ds) << b for _, b, ds in tables)
+        found = _lookups(units(occ, configs, classifier), mode, slots, buckets)
         if classifier == "FH":
             sums = found.groupBy("t", "doc_id").agg(F.sum(_log_ratio(F.col("tf"), F.col("s"), F.col("h"))).alias("ll0"))
             depths = [0]
@@ -166,12 +174,13 @@ def score(emails: DataFrame, configs: list[Config], mode: str = "prequential", s
     """classifier, ngram, log_buckets, num_hashes, doc_id, seq, spam, slot, score of every email (mode "split": of those that don't train).
 
     emails: doc_id, seq, body, spam (0 or 1), slot; optional boolean trains. Emails without n-grams are scored by the prior; a null slot
-    comes before all others. `slots` bounds the slot numbers (found if not given): few need no segments of running totals."""
+    comes before all others. `slots` is how many there can be (found if not given): few need no segments of running totals, and with the
+    numbers of buckets it bounds the counters, which are broadcast only up to BROADCAST_ROWS rows."""
     if "trains" not in emails.columns:
         emails = emails.withColumn("trains", F.lit(True))
     emails = emails.withColumn("slot", _known(F.col("slot"), -1))
-    if mode == "prequential" and slots is None:
-        slots = (emails.agg(F.max("slot")).first()[0] or 0) + 1
+    if slots is None:
+        slots = 1 if mode == "split" else (emails.agg(F.max("slot")).first()[0] or 0) + 2
     emails = emails.withColumn("words", tokens.num_words(F.col("body")))
     if occ is None:
         occ = occurrences(emails, max(c.ngram for c in configs), configs, hash_mode)
@@ -182,7 +191,8 @@ def score(emails: DataFrame, configs: list[Config], mode: str = "prequential", s
     each = F.explode(F.array(*(F.struct(*(F.lit(getattr(c, a)).alias(a) for a in CONFIG)) for c in configs)))
     docs = emails.where(~F.col("trains")) if mode == "split" else emails
     docs = docs.select("doc_id", "seq", "spam", "slot", "words", each.alias("c")).select("c.*", "doc_id", "seq", "spam", "slot", "words")
-    both = docs.join(ll, [*CONFIG, "doc_id"], "left").join(F.broadcast(known) if mode in ("folds", "in_sample", "split") else known, ["ngram"] if mode == "split" else ["ngram", "slot"], "left")
+    ngrams = len({c.ngram for c in configs})
+    both = docs.join(ll.hint("merge"), [*CONFIG, "doc_id"], "left").join(_sized(known, ngrams * slots), ["ngram"] if mode == "split" else ["ngram", "slot"], "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     grams = F.coalesce(*(F.when(F.col("ngram") == n, tokens.ngram_total(F.col("words"), n)) for n in sorted({c.ngram for c in configs})))
     s = posterior(F.coalesce("ll", F.lit(0.0)), grams, F.col("log_buckets"), count("ns"), count("nh"), count("ts"), count("th"))
