@@ -11,9 +11,11 @@ counts for the unigram base score. Exclusions depend on contexts alone, so each
 of followers are without its own followers, and scoring is table look-ups over arrays. `adaptive_code_length` is the
 sequential form, which learns a text as it reads it.
 
-What goes to every worker is bounded: of the trie, the n-grams of at least a count so chosen that at most MAX_NODES remain (all, while
-there are no more); of the words, those of at least a count so chosen that at most MAX_WORDS remain. Other words' counts are
-joined by shuffle, exactly; a word that is left for the join is one of few occurrences, so its key can't be hot.
+What goes to every worker is bounded: of the trie, the contexts of at least a total so chosen that at most MAX_NODES n-grams remain (all,
+while there are no more); of the words, those of at least a count so chosen that at most MAX_WORDS remain. A context that is sent has all
+its followers, and the shorter contexts of its ending are sent too, so what it gives is exact. Bytes after other contexts are left open:
+a text's distinct open n-grams are joined by shuffle to the table of all nodes, which stays in the shared folder, and scored exactly from
+it. Other words' counts are joined likewise. What is left for the joins is of few occurrences in training, so it can't be hot there.
 
 Defined results: a null text is empty (its one token is the end); with no training documents counts are 0 and bytes equally likely;
 repeated documents count and are scored each; other columns are ignored; an empty table gives no rows.
@@ -27,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.common import slices, text_bytes, written
@@ -112,6 +114,7 @@ class Table:
 class Level:
     """Contexts of one length: the bytes that followed, and what excluding them leaves of the next shorter context."""
 
+    keys: np.ndarray
     followers: Table
     count: np.ndarray
     contexts: Table
@@ -122,9 +125,12 @@ class Level:
 
 
 class Trie:
-    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]]):
-        """From n-grams and their counts, for n from 1 to ORDER + 1; an n-gram's ending must be an (n - 1)-gram."""
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray]], whole: bool = True):
+        """From n-grams and their counts, for n from 1 to ORDER + 1; an n-gram's ending must be an (n - 1)-gram.
+
+        Contexts have all their followers. If not `whole`, there are contexts that it doesn't hold."""
         self.levels: list[Level] = []
+        self.whole = whole
         for k, (keys, n) in enumerate(nodes):
             own, count = counted(keys.astype(np.uint64), n.astype(np.int64))
             contexts, total = counted(own >> np.uint64(8), count)
@@ -136,19 +142,22 @@ class Trie:
                 _, excluded = counted(own >> np.uint64(8), in_parent)
                 parent = low.contexts.find(contexts & np.uint64((1 << (8 * (k - 1))) - 1))
                 parent_total, parent_distinct = low.total[parent] - excluded, low.distinct[parent] - distinct
-            self.levels.append(Level(Table(own), count, Table(contexts), total, distinct, parent_total, parent_distinct))
+            self.levels.append(Level(own, Table(own), count, Table(contexts), total, distinct, parent_total, parent_distinct))
         top = self.levels[-1]
         context = top.contexts.find(own >> np.uint64(8))
         #: Most bytes are found in their longest context: one look-up.
         self.direct = np.log10(top.count / (top.total + top.distinct)[context]) if len(own) else np.zeros(0)
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each (ORDER + 1)-gram after the others."""
+    def log10(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of the last byte of each (ORDER + 1)-gram after the others, and where it is left open (as 0)."""
         out = np.zeros(len(keys))
         found = self.levels[-1].followers.find(keys)
         hit = found >= 0
         out[hit] = self.direct[found[hit]]
-        left = np.flatnonzero(~hit)
+        left, opened = np.flatnonzero(~hit), np.zeros(0, np.int64)
+        if not self.whole:
+            known = self.levels[-1].contexts.find(keys[left] >> np.uint64(8)) >= 0
+            left, opened = left[known], left[~known]
         rest = np.full(len(left), -1, np.int64)  # the longer context whose followers are excluded; -1: none
         for k in range(ORDER, -1, -1):
             level, gram = self.levels[k], keys[left] & np.uint64((1 << (8 * (k + 1))) - 1)
@@ -166,14 +175,37 @@ class Trie:
         if len(left):
             seen = int(self.levels[0].distinct[0]) if len(self.levels[0].distinct) else 0
             out[left] -= math.log10(max(256 - seen, 1))
-        return out
+        return out, opened
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text and its end."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """log10 probability of each text and its end, but for its open (ORDER + 1)-grams; these, and how often each occurs."""
         if not texts:
-            return np.zeros(0)
+            return np.zeros(0), []
+        keys = grams(texts)
         ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-        return np.add.reduceat(self.log10(grams(texts)), np.concatenate(([0], ends[:-1])))
+        value, opened = self.log10(keys)
+        edge = np.searchsorted(opened, np.concatenate(([0], ends)))
+        return np.add.reduceat(value, np.concatenate(([0], ends[:-1]))), [counted(keys[opened[a:b]]) for a, b in zip(edge[:-1], edge[1:])]
+
+    def missing(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the contexts of each (ORDER + 1)-gram, those not held: the n-gram, the size of the context's nodes, the context."""
+        found = []
+        for k, level in enumerate(self.levels):
+            context = (keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1)
+            away = level.contexts.find(context) < 0
+            found.append((keys[away], np.full(int(away.sum()), k + 1, np.int32), context[away]))
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def joined(self, keys: np.ndarray, size: np.ndarray, gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """log10 probability of (ORDER + 1)-grams, given the nodes of all their contexts that aren't held here."""
+        nodes = []
+        for k, level in enumerate(self.levels):
+            own, at = np.unique(gram[size == k + 1], return_index=True)
+            context = np.unique((keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1))
+            first, last = (np.searchsorted(level.keys, (context + np.uint64(i)) << np.uint64(8)) for i in (0, 1))
+            held = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(context) else first
+            nodes.append((np.concatenate((own, level.keys[held])), np.concatenate((n[size == k + 1][at], level.count[held]))))
+        return Trie(nodes).log10(keys)[0]
 
 
 def adaptive_code_length(text: bytes, order: int = ORDER) -> float:
@@ -254,6 +286,9 @@ def least_count(counts: DataFrame, most: int) -> int:
 @dataclass
 class Model:
     trie: Trie
+    #: size, gram, n, total, distinct: all n-grams, with the total and number of followers of their contexts; the trie has contexts of at least `least_total`.
+    nodes: DataFrame
+    least_total: int
     #: Words of at least `least` occurrences in training, with log10(count + 1).
     frequent: dict[bytes, float]
     least: int
@@ -275,12 +310,15 @@ def train(docs: DataFrame, is_training: Column, text_col: str = "text") -> Model
     # shorter n-grams are the endings of the longest: every byte has a whole context, thanks to the padding
     ending = lambda k: F.col("gram").bitwiseAND(F.lit((1 << (8 * k)) - 1))
     sizes = F.explode(F.array(*(F.struct(F.lit(k).alias("size"), ending(k).alias("gram")) for k in range(1, ORDER + 2))))
-    all_nodes = written(gram_counts.select("n", sizes.alias("x")).groupBy("x.size", "x.gram").agg(F.sum("n").alias("n")), "trie-nodes")
-    nodes = all_nodes.where(F.col("n") >= least_count(all_nodes, MAX_NODES)).toArrow()
+    all_nodes = gram_counts.select("n", sizes.alias("x")).groupBy("x.size", "x.gram").agg(F.sum("n").alias("n"))
+    same = Window.partitionBy("size", F.shiftright("gram", 8))  # at most 256 rows each
+    all_nodes = written(all_nodes.select("size", "gram", "n", F.sum("n").over(same).alias("total"), F.count("*").over(same).alias("distinct")), "trie-nodes")
+    least_total = least_count(all_nodes.select(F.col("total").alias("n")), MAX_NODES)
+    nodes = all_nodes.where(F.col("total") >= least_total).select("size", "gram", "n").toArrow()
     size_of, gram_of, n_of = (nodes.column(c).to_numpy() for c in ("size", "gram", "n"))
     size = word_counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    trie = Trie([(gram_of[size_of == k], n_of[size_of == k]) for k in range(1, ORDER + 2)])
-    return Model(trie, frequent, least, word_counts, size["n"] + ends, size["v"] + (ends > 0), ends)
+    trie = Trie([(gram_of[size_of == k], n_of[size_of == k]) for k in range(1, ORDER + 2)], least_total == 1)
+    return Model(trie, all_nodes, least_total, frequent, least, word_counts, size["n"] + ends, size["v"] + (ends > 0), ends)
 
 
 def _score(tables, end: float, id_col: str, text_col: str):
@@ -297,32 +335,76 @@ def _score(tables, end: float, id_col: str, text_col: str):
                     known.append(len(w) - len(others))
                     base.append(math.fsum(v for v in values if v is not None) + end)
                     rare.append(others)
-                score = trie.score([b" ".join(w) for w in split])
+                score, opened = trie.score([b" ".join(w) for w in split])
                 arrays = [part.column(id_col), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_frequent", "frequent_part", "score", "rare"])
+                arrays += [pa.array([g.astype(np.int64) for g, _ in opened], pa.list_(pa.int64())), pa.array([n for _, n in opened], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_frequent", "frequent_part", "score", "rare", "opened", "times"])
 
     return run
 
 
+def _missing(tables):
+    def run(batches):
+        trie = tables.value[0]
+        for batch in batches:
+            gram, size, context = trie.missing(batch.column("gram").to_numpy().astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(size), pa.array(context.astype(np.int64))], ["gram", "size", "context"])
+
+    return run
+
+
+def _joined(tables):
+    def run(batches):
+        trie = tables.value[0]
+        for batch in batches:
+            own = batch.column("nodes").flatten()
+            size, gram, n = (own.field(c).to_numpy(zero_copy_only=False) for c in ("size", "node", "n"))
+            value = trie.joined(batch.column("gram").to_numpy().astype(np.uint64), size, gram.astype(np.uint64), n)
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), pa.array(value)], ["gram", "value"])
+
+    return run
+
+
+def gram_values(opened: DataFrame, model: Model, tables) -> DataFrame:
+    """gram, value: log10 probabilities of the distinct (ORDER + 1)-grams `gram`, from all nodes."""
+    longest = model.nodes.where(F.col("size") == ORDER + 1).select(F.col("gram").alias("g"), "n", "total", "distinct")
+    every = written(opened.join(longest, F.col("gram") == F.col("g"), "left"), "open-grams")
+    seen = every.where(F.col("n").isNotNull()).select("gram", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("value"))
+    unseen = every.where(F.col("n").isNull()).select("gram")
+    asked = unseen.mapInArrow(_missing(tables), "gram long, size int, context long")
+    rest = model.nodes.where(F.col("total") < model.least_total).select(F.col("size").alias("s"), F.shiftright("gram", 8).alias("c"), F.struct("size", F.col("gram").alias("node"), "n").alias("x"))
+    nodes = asked.join(rest, (F.col("size") == F.col("s")) & (F.col("context") == F.col("c"))).select("gram", "x")
+    none = unseen.select("gram", F.lit(None).cast(rest.schema["x"].dataType).alias("x"))
+    both = nodes.unionByName(none).groupBy("gram").agg(F.collect_list("x").alias("nodes"))  # nulls are left out
+    return seen.unionByName(both.mapInArrow(_joined(tables), "gram long, value double"))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of each document."""
     spark = docs.sparkSession
     docs = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     tables = spark.sparkContext.broadcast((model.trie, model.frequent))
     end = math.log10(model.ends + 1)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_frequent long, frequent_part double, score double, rare array<binary>"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_frequent long, frequent_part double, score double, rare array<binary>, opened array<long>, times array<long>"
     scored = docs.mapInArrow(_score(tables, end, id_col, "text"), schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # a table: rows keep their numbers
     rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
     counts = model.word_counts.where(F.col("n") < model.least).select(F.col("word").alias("w"), "n")
     parts = rare.join(counts, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_part"))
     floor = math.log10(model.train_tokens + model.vocabulary + 1)
-    both = scored.drop("rare").join(parts, F.col("row") == F.col("r"), "left")
+    both = scored.drop("rare", "opened", "times").join(parts, F.col("row") == F.col("r"), "left")
+    if model.trie.whole:
+        both = both.withColumn("open_part", F.lit(0.0))
+    else:
+        cells = scored.where(F.size("opened") > 0).select("row", F.explode(F.arrays_zip("opened", "times")).alias("x")).select(F.col("row").alias("o"), F.col("x.opened").alias("gram"), F.col("x.times").alias("times"))
+        values = written(gram_values(cells.select("gram").distinct(), model, tables), "gram-values").withColumnRenamed("gram", "g")
+        opened = cells.join(values, F.col("gram") == F.col("g")).groupBy("o").agg(F.sum(F.col("times") * F.col("value")).alias("open_part"))
+        both = both.join(opened, F.col("row") == F.col("o"), "left")
     return both.select(
         "doc_id",
         "n_tokens",
         (F.col("n_frequent") + F.coalesce("n_rare", F.lit(0)) + F.lit(int(model.ends > 0))).alias("n_known"),
         F.lit(model.train_tokens).cast("long").alias("train_tokens"),
         (F.col("frequent_part") + F.coalesce("rare_part", F.lit(0.0)) - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("open_part", F.lit(0.0))).alias("score"),
     )

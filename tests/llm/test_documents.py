@@ -217,6 +217,21 @@ def test_ppm_bounds_and_rare_words(spark, documents, monkeypatch):
         assert r.base_score == pytest.approx(want[r.doc_id].base_score, abs=1e-9) and r.n_known == want[r.doc_id].n_known and r.score < 0
 
 
+@pytest.mark.parametrize("most", [0, 60, 700])
+def test_ppm_keeps_every_ngram(spark, documents, monkeypatch, most):
+    """Beyond MAX_NODES scores are still those of the whole model."""
+    monkeypatch.setattr(ppm, "MAX_NODES", most)
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choices(["the", "cat", "cats", "sat", "on", "mats", f"x{i}", "é"], k=rnd.randint(0, 25)))) for i in range(60)] + [(63, "wholly 漢字 other"), (66, "\x01" * 40), (69, None)]
+    df = documents(rows)
+    model = ppm.train(df, F.col("doc_id") % 3 != 0)
+    assert not model.trie.whole and sum(len(x.count) for x in model.trie.levels) <= most
+    train = [" ".join((t or "").split()).encode() for i, t in rows if i % 3]
+    text = {i: " ".join((t or "").split()).encode() for i, t in rows}
+    got = {r.doc_id: r.score for r in ppm.score(df, model).collect()}
+    assert got == {i: pytest.approx(slow_ppm(train, t, ppm.ORDER), abs=1e-9) for i, t in text.items()}
+
+
 def test_ppm_without_training_or_rows(spark, documents):
     df = documents([(1, "ab"), (2, None)])
     rows = {r.doc_id: r for r in ppm.score(df, ppm.train(df, F.lit(False))).collect()}
