@@ -16,6 +16,7 @@ of null ids only has a null one); other columns are ignored; an empty table give
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -168,12 +169,12 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; all its columns stay.
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[[DataFrame, str, str], DataFrame] = near_duplicates) -> DataFrame:
+    """One document of each component that `find` gives, that with the smallest id; all its columns stay.
 
     An id names a document: if one of its rows isn't a component's representative, all its rows go, and of rows that repeat an id
     and a text one stays. Rows with a null id can't be named and all stay."""
-    found = written(near_duplicates(docs, id_col, text_col), "near-duplicates")
+    found = written(find(docs, id_col, text_col), "near-duplicates")
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()

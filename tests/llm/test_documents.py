@@ -12,7 +12,7 @@ import xxhash
 from edge_rows import EDGES
 from pyspark.sql import functions as F
 
-from tallyflow.llm import decontam, langid, ppm, secret_scan, simhash
+from tallyflow.llm import decontam, langid, ppm, secret_scan, shingles, simhash
 from tallyflow.llm.components import connected_components
 
 WORDS = {"aa": "the of and to in is that for".split(), "bb": "der die und das ist von zu nicht".split(), "cc": "le la les des est une pour que".split()}
@@ -149,6 +149,40 @@ def test_near_duplicates_operator(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 18, 300])
+def test_pipeline_drops_planted_near_copies(spark, documents, monkeypatch, block):
+    """The pipeline's stage keeps one document of each group linked by similarity 0.8 on five-word shingles."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(shingles, "BLOCK", block)
+    rnd = random.Random(12)
+    rows = [e for e in EDGES if len(e[1] or "") < 5000]
+    for i in range(12):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([8, 30, 120]))]
+        for j in range(7):
+            w = list(base)
+            for _ in range(rnd.randint(0, 3)):
+                w[rnd.randrange(len(w))] = "changed"
+            rows.append((100 + 10 * i + j, " ".join(w) if j % 2 else " ".join(w).upper()))
+    chain = [f"c{k}" for k in range(200)]
+    rows += [(900 + k, " ".join(chain[9 * k : 9 * k + 100])) for k in range(8)]
+    sets = {}
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[t] = frozenset(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+    near = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    at = components_of(range(len(rows)), lambda a, b: near(sets[rows[a][1]], sets[rows[b][1]]))
+    first: dict = {}
+    for n, (i, _) in enumerate(rows):
+        if i is not None:
+            first[at[n]] = min(i, first.get(at[n], i))
+    kept = corpus_pipeline.near_duplicates(spark, documents(rows), "")
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted({*first.values(), None}, key=str)
+    got = shingles.near_duplicates(documents(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, first.get(at[n])) for n, (i, _) in enumerate(rows)), key=str)
+    assert shingles.near_duplicates(documents([])).count() == 0
+
+
 def test_components_of_long_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (300, 301), (301, 300)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
