@@ -131,6 +131,24 @@ def turns():
     return [(1, 0, "user", tricky), (1, 1, "assistant", tricky), (1, 2, "user", ""), (1, 3, "assistant", "ünï 漢"), (2, 0, "user", "no reply"), (3, 0, "assistant", None), (3, None, None, "first"), (4, 0, "[/INST]", "odd role"), (4, 0, "assistant", "b"), (4, 0, "assistant", "a"), (4, 0, "assistant", "a"), (None, 1, "user", "x"), (None, 2, "assistant", "y " * 50000)]
 
 
+def test_chat_loss_is_what_the_examples_hold(spark, monkeypatch):
+    """Only examples that are made give loss, and it is what their masks cut out of the formatted text."""
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a</s>é"), (1, 2, "user", "r"), (1, 3, "assistant", "b\\\\1"), (None, 0, "assistant", "n"), (2, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    whole = chat.formatted(df)
+    text = {r.conv_id: r.formatted for r in whole.collect()}
+    loss = dict.fromkeys(text, "")
+    for r in sorted(chat.examples(whole).collect(), key=lambda r: r.turn_no):
+        cut = text[r.conv_id][r.reply_start : r.reply_end]
+        for plain, mark in reversed(chat._ESCAPES):
+            cut = cut.replace(mark, plain)
+        loss[r.conv_id] += cut
+    got = {r.conv_id: (r.loss_chars, r.loss_sha256) for r in chat.digest(whole).collect()}
+    assert got == {c: (len(t), hashlib.sha256(t.encode()).hexdigest()) for c, t in loss.items()}
+    every = chat.examples
+    monkeypatch.setattr(chat, "examples", lambda c: every(c).where("turn_no = 1"))
+    assert {r.conv_id: r.loss_chars for r in chat.digest(whole).collect()} == {1: 6, None: 0, 2: 0}
+
+
 def test_chat_digests(spark):
     df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string").withColumns({"formatted": F.lit(1), "part": F.lit(2)}).repartition(3)
     got = {r.conv_id: r for r in chat.digest(chat.formatted(df)).collect()}
