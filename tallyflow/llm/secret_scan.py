@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking.
 
 Strong kinds (assign, access, hex) are reported by themselves. Weak parts are not: an access identifier (`AKIA`/`ASIA` and the
-like with 16 to 24 characters, or an e-mail or user name assigned to a login word), an unlabelled secret (20 to 128 characters
+like with 16 to 24 characters, or an e-mail or user name assigned to a login word), an unlabelled secret (20 characters or more
 of base64 or URL alphabet with digits and both letter cases, or hex of 16 to 31), and an endpoint (a URL or host:port). A
 weak part is reported only if a part that completes it stands in the same scope: the interval of SCOPE code points around
 it. Identifier completes secret and secret completes identifier; an endpoint is reported if both are in its scope, or one of
@@ -34,8 +34,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _IDENT = re.compile(r"""\b(?:A3T[A-Z0-9]|AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,20}\b|\b(?:user(?:name)?|login|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{3,64}""", re.A)
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,128}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
 _ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,253}(?::\d{2,5})?(?:/[A-Za-z0-9._~/-]{0,200})?|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b""", re.A)
+_BREAK = re.compile(r"[^A-Za-z0-9+/_=-]", re.A)
+_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")
 _HEX_PART = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{16,31}\Z")
 
@@ -77,10 +79,10 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
     ids = [x for x in ids if free(x)]
     all_ids = sorted([*strong_ids, *(x[0] for x in ids)])
     keys = []
-    for at in _windows([*all_ids, *(x[0] for x in ends)], len(text)):
+    for at in _windows([*all_ids, *(x[0] for x in ends)], text):
         keys += [(m.start(), 4, m.end()) for m in _SECRET.finditer(text, *at) if _plausible(m[0])]
     keys = [x for x in keys if free(x)]
-    all_keys = sorted([*strong_keys, *(x[0] for x in keys)])
+    all_keys = sorted([*strong_keys, *(x[0] for x in keys), *(x[2] for x in keys)])  # a long one may only end in a scope
     out = [x for x in ids if _near(all_keys, x[0] - SCOPE, x[2] + SCOPE)]
     out += [x for x in keys if _near(all_ids, x[0] - SCOPE, x[2] + SCOPE)]
     for x in ends:
@@ -97,16 +99,21 @@ def _plausible(s: str) -> bool:
     return bool(len(s) >= 20 and _MIXED.match(s) or _HEX_PART.match(s))
 
 
-def _windows(points: list[int], n: int):
-    """Disjoint (start, end) intervals that cover the scopes of points, with room for a secret that begins or ends there."""
+def _windows(points: list[int], text: str):
+    """Disjoint (start, end) intervals that cover the scopes of points, and whole secrets that begin or end there."""
     lo = hi = -1
     for p in sorted(points):
-        a, b = max(0, p - SCOPE - 400), min(n, p + SCOPE + 700)
+        a, b = max(0, p - SCOPE - 400), min(len(text), p + SCOPE + 700)
         if a > hi:
             if hi >= 0:
                 yield lo, hi
+            # after the window before, which ends between secrets
+            while a > max(hi, 0) and text[a - 1] in _PART:
+                a -= 1
             lo = a
-        hi = max(hi, b)
+        if b > hi:
+            end = _BREAK.search(text, b)
+            hi = end.start() if end else len(text)
     if hi >= 0:
         yield lo, hi
 
