@@ -5,15 +5,15 @@ prefix. So a trie node needs one state, its last token, found among the tokens t
 with the last token of the prefix before it. Distinct words are inserted in a trie, held as their sorted list (its depth-first
 order), and the walk keeps the states of the current path; a word pays only for the bytes it doesn't share with the one before.
 
-Work is narrow: each worker walks a trie of the words it hasn't seen, and keeps encodings in a table of at most CACHE_WORDS.
+Work is narrow: each worker walks a trie of the words it hasn't seen, and keeps encodings in a table of CACHE_BYTES, and of a slice beyond.
 
-Defined results: a null or empty text has no tokens; special tokens' strings in a text become their ids, as the tokenizers
+Defined results: a null or empty text has no tokens, and an empty table gives no rows; a text of any length is encoded whole (its pieces
+are held at once); special tokens' strings in a text become their ids, as the tokenizers
 library does by default; repeated documents each get a row; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 from functools import lru_cache, partial
@@ -25,8 +25,10 @@ from pyspark.sql import DataFrame
 
 from tallyflow.llm.common import map_text
 
-#: Words whose encodings a worker keeps, about 250 bytes each; the half used least lately goes first.
-CACHE_WORDS = 600_000
+#: Words' encodings that a worker keeps, by number and by bytes; the half used least lately goes first.
+CACHE_WORDS, CACHE_BYTES = 600_000, 32 << 20
+#: Of a word in the table: its string, its tuple and its place (token numbers are shared).
+_WORD_BYTES = 190
 
 #: Fixed value: the byte-level vocabularies' split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,7 +76,8 @@ class TrieBPE:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.stands = lru_cache(1 << 17)(self._stands)
+        self.held = 0
+        self.stands = lru_cache(1 << 15)(self._stands)
 
     def _stands(self, x: int, y: int) -> bool:
         """Whether tokens x, y stay apart when their bytes are merged: their sides of the border, undone merge by merge."""
@@ -153,18 +156,20 @@ class TrieBPE:
 
     def known(self, pieces: set[str]) -> dict[str, tuple[int, ...]]:
         """Encodings of distinct pieces, from the two halves of the table or else from a trie of what is new."""
-        if len(self.words) + len(pieces) > CACHE_WORDS // 2:
-            self.older, self.words = self.words, {}
+        if len(self.words) + len(pieces) > CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
+            self.older, self.words, self.held = self.words, {}, 0
         words, older, new = self.words, self.older, []
         for p in pieces.difference(words):
             if (ids := older.get(p)) is None:
                 new.append(p)
             else:
                 words[p] = ids
+                self.held += _WORD_BYTES + len(p) + 8 * len(ids)
         split = {p: self.split_piece(p) for p in new}
         ids = self.encode_words(list(set(chain.from_iterable(split.values()))))
         for p, ws in split.items():
-            words[p] = ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws)))
+            words[p] = own = ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws)))
+            self.held += _WORD_BYTES + len(p) + 8 * len(own)
         return words
 
     def decode_bytes(self, ids: list[int]) -> bytes:
@@ -212,8 +217,6 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 def _digest(path: str, id_col: str, text_col: str):
     bpe = trie_bpe(path)
 
-    gc.disable()  # tables of millions of tuples without cycles: collecting them costs a third of the time
-
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b = [], [], []
         for ids in bpe.encode_batch([t or "" for t in batch.column(text_col).to_pylist()]):
