@@ -16,13 +16,12 @@ named by a fresh name each attempt and count only when the manifest (a table of
 or run twice leaves nothing that is read. Ids before a document: of the files before its own, from the manifest (one row a file),
 and of those before it in the file.
 
-Defined results: a null or empty text has the end id only; documents with equal ids are in order of their texts' hash; null ids come
-first; other columns are ignored; an empty table gives no file and no rows.
+Defined results: a null or empty text has the end id only; a text of any length is one document, its ids in as many blocks as it
+takes; documents with equal ids are in order of their texts' hash; null ids come first; other columns are ignored; an empty table gives no file and no rows.
 """
 
 from __future__ import annotations
 
-import gc
 import json
 import os
 import struct
@@ -38,12 +37,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyflow.llm.bpe import byte_symbols
-from tallyflow.llm.common import filesystem, shared_folder, slices, written
+from tallyflow.llm.common import filesystem, shared_folder, slices, without_cycle_search, written
 
 MAGIC, TAIL = b"TFPL0001", b"TFPLEND1"
 BLOCK_IDS = 1 << 16
-#: Pieces of text whose ids a worker keeps, about 200 bytes each; the half used least lately goes first.
-CACHE_WORDS = 600_000
+#: Bytes of pieces' ids that a worker keeps; the half used least lately goes first.
+CACHE_BYTES = 48 << 20
+#: Of a piece in the table: its string, its ids and its place.
+_PIECE_BYTES = 190
 _SPACES = str.maketrans("\n\r\t", "   ")
 
 
@@ -149,6 +150,7 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -179,12 +181,11 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = list(map(self.cut, texts))
         pieces = set().union(*cut)
-        if len(self.words) + len(pieces) > CACHE_WORDS // 2:
-            self.older, self.words = self.words, {"": b""}
-        if len(self.parts) > CACHE_WORDS:
-            self.parts = {}
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.words, self.parts, self.held = self.words, {"": b""}, {}, 0
         words, whole = self.words, []
         for p in pieces.difference(words):
+            self.held += _PIECE_BYTES + 2 * len(p)
             if (ids := self.older.get(p)) is not None:
                 words[p] = ids
             elif self._is_latin(p):
@@ -202,6 +203,7 @@ class PieceEncoder:
         if (ids := self.parts.get(word)) is None:
             shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
             ids = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.held += _PIECE_BYTES + 2 * len(word)
         return ids
 
 
@@ -212,29 +214,32 @@ def piece_encoder(path: str) -> PieceEncoder:
 
 def _write(folder: str, vocabulary: str, end_id: int | None, unit: str, block_ids: int):
     def run(batches):
-        gc.disable()  # large tables without cycles
         encoder, end, writer, first = piece_encoder(vocabulary), b"" if end_id is None else struct.pack("<I", end_id), None, None
         fs, base = filesystem(folder)
         name = f"{uuid.uuid4().hex}.tfpl"
-        for batch in batches:
-            for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_pylist()
-                if writer is None and ids:
-                    fs.create_dir(base, recursive=True)
-                    writer, first = Writer(fs.open_output_stream(f"{base}/{name}", compression=None), block_ids, unit), ids[0]
-                for doc, x in zip(ids, encoder.encode([t or "" for t in part.column("text").to_pylist()])):
-                    writer.add(doc, x + end)
+        with without_cycle_search():
+            for batch in batches:
+                for part in slices(batch, "text"):
+                    ids = part.column("doc_id").to_pylist()
+                    if writer is None and ids:
+                        fs.create_dir(base, recursive=True)
+                        writer, first = Writer(fs.open_output_stream(f"{base}/{name}", compression=None), block_ids, unit), (ids[0], part.column("text_key")[0].as_py())
+                    for doc, x in zip(ids, encoder.encode([t or "" for t in part.column("text").to_pylist()])):
+                        writer.add(doc, x + end)
         if writer is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first], pa.int64()), pa.array([len(writer.docs)], pa.int64()), pa.array([writer.close()], pa.int64())], ["file", "first_id", "n_docs", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([name]), *(pa.array([x], pa.int64()) for x in (*first, len(writer.docs), writer.close()))], ["file", "first_id", "first_key", "n_docs", "n_tokens"])
 
     return run
 
 
 def write(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: int | None = 2, unit: str = "byte", block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Writes the documents' ids in ascending order of the id; returns the folder and the manifest (file, first_id, n_docs, n_tokens)."""
+    """Writes the documents' ids in ascending order of the id; returns the folder and the manifest.
+
+    The manifest has file, first_id, first_key, n_docs, n_tokens. Range partitions are cut by the id and a hash of the text, so that an id
+    which very many rows share, or a null one, is spread over tasks and files."""
     folder = folder or shared_folder(docs.sparkSession, "token-files")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    manifest = ordered.mapInArrow(_write(folder, vocabulary, end_id, unit, block_ids), "file string, first_id long, n_docs long, n_tokens long")
+    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
+    manifest = ordered.mapInArrow(_write(folder, vocabulary, end_id, unit, block_ids), "file string, first_id long, first_key long, n_docs long, n_tokens long")
     return folder, written(manifest, "token-manifest")
 
 
@@ -264,7 +269,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _with_starts(manifest: DataFrame) -> DataFrame:
     """One row a file, each to be read by its own task. The window without partitions has as many rows as there are files."""
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "file").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_key", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition(max(1, manifest.count()))
 
 
