@@ -9,7 +9,8 @@ found, so at most one link leaves for each fingerprint and table. Buckets of ove
 covering family over the bits that the first left free; what the two leave free is at most 16 bits, so such a bucket holds at most
 2^16 fingerprints whatever the data. No bucket is capped.
 
-Defined results: a null, empty or wordless text has fingerprint zero and is linked like any other; under three words the whole
+Defined results: a text of any length is read whole (its shingles' hashes are held at once, 8 bytes each and an object); a null, empty
+or wordless text has fingerprint zero and is linked like any other; under three words the whole
 sequence is the one shingle; repeated documents share a component; null ids take part but are never a component's id (a component
 of null ids only has a null one); other columns are ignored; an empty table gives no rows.
 """
@@ -175,8 +176,9 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     An id names a document: if one of its rows isn't a component's representative, all its rows go, and of rows that repeat an id
     and a text one stays. Rows with a null id can't be named and all stay."""
     found = written(find(docs, id_col, text_col), "near-duplicates")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti")
+    name = "_".join(["gone", *docs.columns])  # longer than any column of docs, so none clashes
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     repeated = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
     if not repeated:
         return kept
