@@ -15,9 +15,11 @@ What goes to every worker is bounded: of the trie, the contexts of at least a to
 while there are no more); of the words, those of at least a count so chosen that at most MAX_WORDS remain. A context that is sent has all
 its followers, and the shorter contexts of its ending are sent too, so what it gives is exact. Bytes after other contexts are left open:
 a text's distinct open n-grams are joined by shuffle to the table of all nodes, which stays in the shared folder, and scored exactly from
-it. Other words' counts are joined likewise. What is left for the joins is of few occurrences in training, so it can't be hot there.
+it. Other words' counts are joined likewise. A document brings each such word and n-gram once, with its number. One that few training
+documents have, or none, may still be in very many that are only scored: both joins have exchanges of their own on both sides and no
+aggregation by that key after them, so adaptive execution splits such a key's rows over tasks.
 
-Defined results: a null text is empty (its one token is the end); with no training documents counts are 0 and bytes equally likely;
+Defined results: a text of any length is counted and scored whole, in memory in proportion to it; a null text is empty (its one token is the end); with no training documents counts are 0 and bytes equally likely;
 repeated documents count and are scored each; other columns are ignored; an empty table gives no rows.
 """
 
@@ -331,14 +333,15 @@ def _score(tables, end: float, id_col: str, text_col: str):
                 known, base, rare = [], [], []
                 for w in split:
                     values = list(map(get, w))
-                    others = [x for x, v in zip(w, values) if v is None]
-                    known.append(len(w) - len(others))
+                    others = Counter(x for x, v in zip(w, values) if v is None)
+                    known.append(len(w) - others.total())
                     base.append(math.fsum(v for v in values if v is not None) + end)
                     rare.append(others)
                 score, opened = trie.score([b" ".join(w) for w in split])
-                arrays = [part.column(id_col), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))]
+                arrays = [part.column(id_col), pa.array([len(w) + 1 for w in split], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+                arrays += [pa.array([list(r) for r in rare], pa.list_(pa.binary())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64()))]
                 arrays += [pa.array([g.astype(np.int64) for g, _ in opened], pa.list_(pa.int64())), pa.array([n for _, n in opened], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_frequent", "frequent_part", "score", "rare", "opened", "times"])
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "n_frequent", "frequent_part", "score", "rare", "rare_times", "opened", "times"])
 
     return run
 
@@ -385,14 +388,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     docs = docs.select(id_col, F.col(text_col).cast("string").alias("text"))
     tables = spark.sparkContext.broadcast((model.trie, model.frequent))
     end = math.log10(model.ends + 1)
-    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_frequent long, frequent_part double, score double, rare array<binary>, opened array<long>, times array<long>"
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_frequent long, frequent_part double, score double, rare array<binary>, rare_times array<long>, opened array<long>, times array<long>"
     scored = docs.mapInArrow(_score(tables, end, id_col, "text"), schema)
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")  # a table: rows keep their numbers
-    rare = scored.where(F.size("rare") > 0).select("row", F.explode("rare").alias("word"))
+    rare = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "rare_times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_times").alias("times"))
     counts = model.word_counts.where(F.col("n") < model.least).select(F.col("word").alias("w"), "n")
-    parts = rare.join(counts, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg(F.count("*").alias("n_rare"), F.sum(F.log10(F.col("n") + 1.0)).alias("rare_part"))
+    parts = rare.join(counts, F.col("word") == F.col("w")).groupBy(F.col("row").alias("r")).agg(F.sum("times").alias("n_rare"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("rare_part"))
     floor = math.log10(model.train_tokens + model.vocabulary + 1)
-    both = scored.drop("rare", "opened", "times").join(parts, F.col("row") == F.col("r"), "left")
+    both = scored.drop("rare", "rare_times", "opened", "times").join(parts, F.col("row") == F.col("r"), "left")
     if model.trie.whole:
         both = both.withColumn("open_part", F.lit(0.0))
     else:
