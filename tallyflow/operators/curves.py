@@ -74,6 +74,19 @@ def curve_points(preds: DataFrame, keys: list[str]) -> DataFrame:
     return metrics.rates(kept)
 
 
+_RATES = frozenset(metrics.RATES)
+
+
+def pr_table(points: DataFrame) -> DataFrame:
+    """Curve points with the columns of a precision-recall table."""
+    return points.select(*(c for c in points.columns if c not in _RATES), "precision", "recall", "f1", "f05", "accuracy")
+
+
+def roc_table(points: DataFrame) -> DataFrame:
+    """Curve points with the columns of a ROC table."""
+    return points.select(*(c for c in points.columns if c not in _RATES), F.col("recall").alias("tpr"), "fpr", "accuracy")
+
+
 def threshold_metrics(preds: DataFrame, keys: list[str], thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """keys, threshold, tp, fp, tn, fn and rates of every threshold: predictions are counted by how many thresholds they exceed."""
     passed = F.size(F.filter(F.array(*map(F.lit, sorted(thresholds))), lambda t: F.col("score") > t))

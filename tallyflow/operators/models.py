@@ -108,7 +108,7 @@ def _states(sums: DataFrame, keys: list[str], values: list[str], mode: str, slot
     raise ValueError(mode)
 
 
-def _sized(df: DataFrame, most: int) -> DataFrame:
+def sized(df: DataFrame, most: int) -> DataFrame:
     """df, which has at most `most` rows, for a join: sent to all if those are few, else dealt out by the join's key."""
     return F.broadcast(df) if most <= BROADCAST_ROWS else df.hint("merge")
 
@@ -119,13 +119,13 @@ def _lookups(cells: DataFrame, mode: str, slots: int, buckets: int) -> DataFrame
     keys = ["t", "i", "bucket"]
     if mode == "split":
         state = sums.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("h").alias("h"))
-        found = cells.where(~F.col("trains")).join(_sized(state, buckets), keys, "left")
+        found = cells.where(~F.col("trains")).join(sized(state, buckets), keys, "left")
     else:
-        found = cells.join(_sized(_states(sums, keys, ["s", "h"], mode, slots), buckets * slots), [*keys, "slot"], "left")
+        found = cells.join(sized(_states(sums, keys, ["s", "h"], mode, slots), buckets * slots), [*keys, "slot"], "left")
     return found.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in ("s", "h")})
 
 
-def _log_ratio(tf: Column, s: Column, h: Column) -> Column:
+def log_ratio(tf: Column, s: Column, h: Column) -> Column:
     return tf * (F.ln(h + 1) - F.ln(s + 1))
 
 
@@ -139,12 +139,12 @@ def likelihoods(occ: DataFrame, configs: list[Config], mode: str, slots: int) ->
         buckets = sum(max(1, *ds) << b for _, b, ds in tables)
         found = _lookups(units(occ, configs, classifier), mode, slots, buckets)
         if classifier == "FH":
-            sums = found.groupBy("t", "doc_id").agg(F.sum(_log_ratio(F.col("tf"), F.col("s"), F.col("h"))).alias("ll0"))
+            sums = found.groupBy("t", "doc_id").agg(F.sum(log_ratio(F.col("tf"), F.col("s"), F.col("h"))).alias("ll0"))
             depths = [0]
         else:
             depths = sorted({d for *_, ds in tables for d in ds})
             least = found.groupBy("t", "doc_id", "ng", "tf").agg(*(F.min(F.when(F.col("i") < d, F.col(c))).alias(f"{c}{d}") for d in depths for c in "sh"))
-            sums = least.groupBy("t", "doc_id").agg(*(F.sum(_log_ratio(F.col("tf"), F.col(f"s{d}"), F.col(f"h{d}"))).alias(f"ll{d}") for d in depths))
+            sums = least.groupBy("t", "doc_id").agg(*(F.sum(log_ratio(F.col("tf"), F.col(f"s{d}"), F.col(f"h{d}"))).alias(f"ll{d}") for d in depths))
         wanted = [(t, n, b, d) for t, (n, b, ds) in enumerate(tables) for d in ds]
         each = F.explode(F.filter(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(n).alias("ngram"), F.lit(b).alias("log_buckets"), F.lit(d).alias("num_hashes"), F.col(f"ll{d}").alias("ll")) for t, n, b, d in wanted)), lambda x: x["t"] == F.col("t")))
         parts.append(sums.select("t", "doc_id", each.alias("x")).select(F.lit(classifier).alias("classifier"), "x.ngram", "x.log_buckets", "x.num_hashes", "doc_id", "x.ll"))
@@ -192,7 +192,7 @@ def score(emails: DataFrame, configs: list[Config], mode: str = "prequential", s
     docs = emails.where(~F.col("trains")) if mode == "split" else emails
     docs = docs.select("doc_id", "seq", "spam", "slot", "words", each.alias("c")).select("c.*", "doc_id", "seq", "spam", "slot", "words")
     ngrams = len({c.ngram for c in configs})
-    both = docs.join(ll.hint("merge"), [*CONFIG, "doc_id"], "left").join(_sized(known, ngrams * slots), ["ngram"] if mode == "split" else ["ngram", "slot"], "left")
+    both = docs.join(ll.hint("merge"), [*CONFIG, "doc_id"], "left").join(sized(known, ngrams * slots), ["ngram"] if mode == "split" else ["ngram", "slot"], "left")
     count = lambda c: F.coalesce(c, F.lit(0))
     grams = F.coalesce(*(F.when(F.col("ngram") == n, tokens.ngram_total(F.col("words"), n)) for n in sorted({c.ngram for c in configs})))
     s = posterior(F.coalesce("ll", F.lit(0.0)), grams, F.col("log_buckets"), count("ns"), count("nh"), count("ts"), count("th"))

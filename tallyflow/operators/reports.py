@@ -70,6 +70,16 @@ def dev_test_gap(evaluated: DataFrame, limit: float = 0.05) -> DataFrame:
     return evaluated.select("optimized_for", *KEYS, gap.alias("gap"), (gap < -limit).alias("overfits"))
 
 
+def learning_curve_slice(curves: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """The curves of the wanted configurations at one window size, in order of examples seen."""
+    return only_configs(curves.where(F.col("window") == window), wanted).orderBy(*KEYS, "num_examples")
+
+
+def baseline_precision(emails: DataFrame) -> DataFrame:
+    """baseline_precision: what calling every email spam would have, the share of spam."""
+    return emails.agg(F.avg("spam").alias("baseline_precision"))
+
+
 def curve_auc(points: DataFrame, keys: list[str]) -> DataFrame:
     """Area under thinned ROC points by trapezoids between neighbours in order of the false positive rate."""
     from pyspark.sql import Window

@@ -48,21 +48,43 @@ def select_best(avg: DataFrame, digits: int = 9) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "no")
 
 
-def tuned(emails: DataFrame, chosen: DataFrame, configs: list[Config]) -> DataFrame:
+def _in_sample(emails: DataFrame, configs: list[Config], hash_mode: str) -> DataFrame:
+    return models.score(emails.withColumn("slot", F.lit(0).cast("long")), configs, "in_sample", hash_mode=hash_mode)
+
+
+def chosen_curves(emails: DataFrame, chosen: DataFrame, configs: list[Config], hash_mode: str = "md5") -> DataFrame:
+    """optimized_for, configuration and the thinned curve points of each chosen one on the emails that also train."""
+    wanted = chosen.select("optimized_for", *KEYS)
+    preds = _in_sample(emails, configs, hash_mode).join(F.broadcast(wanted.select(*KEYS).distinct()), KEYS, "left_semi")  # a row a metric and classifier
+    return wanted.join(curves.curve_points(preds, KEYS), KEYS)
+
+
+def stream_curves(emails: DataFrame, configs: list[Config], size: int = 1, hash_mode: str = "md5") -> DataFrame:
+    """Configuration and the thinned curve points of the whole stream, test-then-train."""
+    return curves.curve_points(models.score(splits.windows(emails, size), configs, hash_mode=hash_mode), KEYS)
+
+
+def held_out(emails: DataFrame, configs: list[Config], threshold: float | Column = 0.5, hash_mode: str = "md5") -> DataFrame:
+    """Configuration, tp, fp, tn, fn and rates over the emails that don't train (`trains` false), scored by those that do."""
+    preds = models.score(emails.withColumn("slot", F.lit(0).cast("long")), configs, "split", hash_mode=hash_mode)
+    return final_metrics(preds, KEYS, threshold)
+
+
+def tuned(emails: DataFrame, chosen: DataFrame, configs: list[Config], hash_mode: str = "md5") -> DataFrame:
     """optimized_for, configuration, best threshold and metrics on the emails that also train (in-sample)."""
-    preds = models.score(emails.withColumn("slot", F.lit(0).cast("long")), configs, "in_sample")
+    preds = _in_sample(emails, configs, hash_mode)
     return chosen.select("optimized_for", *KEYS).join(curves.best_threshold(preds, KEYS), KEYS)
 
 
-def evaluated(emails: DataFrame, final: DataFrame, configs: list[Config], dev: DataFrame | None = None) -> DataFrame:
+def evaluated(emails: DataFrame, final: DataFrame, configs: list[Config], dev: DataFrame | None = None, hash_mode: str = "md5", reorder: bool = True) -> DataFrame:
     """final's rows with test metrics at their thresholds. Cold start: the model begins empty and learns the test emails one by one; with
-    `dev`, it is trained on those and doesn't learn on."""
+    `dev`, it is trained on those and doesn't learn on. The stream goes by doc_id, or by seq (0, 1, ...) if not `reorder`."""
     if dev is None:
-        order = splits.with_sequence(emails.drop("seq"), "doc_id")
-        preds = models.score(splits.windows(order, 1), configs)
+        order = splits.with_sequence(emails.drop("seq"), "doc_id") if reorder else emails
+        preds = models.score(splits.windows(order, 1), configs, hash_mode=hash_mode)
     else:
         both = emails.withColumn("trains", F.lit(False)).unionByName(dev.withColumn("trains", F.lit(True))).withColumn("slot", F.lit(0).cast("long"))
-        preds = models.score(both, configs, "split")
+        preds = models.score(both, configs, "split", hash_mode=hash_mode)
     rates = ("precision", "recall", "f1", "f05", "accuracy")
     given = final.select("optimized_for", *KEYS, "threshold", *(F.col(r).alias(f"dev_{r}") for r in rates))
     scored = preds.join(F.broadcast(given.select("optimized_for", *KEYS, "threshold")), KEYS)
@@ -70,25 +92,30 @@ def evaluated(emails: DataFrame, final: DataFrame, configs: list[Config], dev: D
     return given.join(test.select("optimized_for", *KEYS, *(F.col(r).alias(f"test_{r}") for r in (*rates, "fpr", "fnr"))), ["optimized_for", *KEYS])
 
 
-def learning_curves(emails: DataFrame, configs: list[Config], sizes: list[int]) -> DataFrame:
-    """window, configuration, step, num_examples and rates for each window size. N-grams are taken and hashed once for all sizes."""
+def learning_curves(emails: DataFrame, configs: list[Config], sizes: list[int], hash_mode: str = "md5", final: DataFrame | None = None) -> DataFrame:
+    """window, configuration, step, num_examples and rates for each window size. N-grams are taken and hashed once for all sizes.
+
+    `final` (optimized_for, configuration, threshold; a few rows) gives curves at its thresholds, with these columns."""
+    keys = [*KEYS, *(["optimized_for", "threshold"] if final is not None else [])]
     each = emails.withColumns({"slot": F.col("seq"), "trains": F.lit(True)})
-    occ, out = written(models.occurrences(each, max(c.ngram for c in configs), configs), "occurrences"), None
+    occ, out = written(models.occurrences(each, max(c.ngram for c in configs), configs, hash_mode), "occurrences"), None
     for size in sizes:
         preds = models.score(splits.windows(emails, size), configs, occ=occ.withColumn("slot", F.floor(F.col("slot") / size).cast("long")))
-        rows = cumulative(preds, KEYS).select(F.lit(size).alias("window"), *KEYS, F.col("slot").alias("step"), "num_examples", *metrics.RATES)
+        if final is not None:
+            preds = preds.join(F.broadcast(final.select("optimized_for", *KEYS, "threshold")), KEYS)
+        rows = cumulative(preds, keys, 0.5 if final is None else F.col("threshold")).select(F.lit(size).alias("window"), *keys, F.col("slot").alias("step"), "num_examples", *metrics.RATES)
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-def sweep(emails: DataFrame, configs: list[Config], size: int = 1) -> DataFrame:
+def sweep(emails: DataFrame, configs: list[Config], size: int = 1, hash_mode: str = "md5") -> DataFrame:
     """Configuration and rates of the whole stream, test-then-train, threshold 0.5."""
-    return final_metrics(models.score(splits.windows(emails, size), configs), KEYS)
+    return final_metrics(models.score(splits.windows(emails, size), configs, hash_mode=hash_mode), KEYS)
 
 
-def calibration(emails: DataFrame, configs: list[Config], size: int = 1) -> DataFrame:
+def calibration(emails: DataFrame, configs: list[Config], size: int = 1, hash_mode: str = "md5") -> DataFrame:
     """Configuration, brier_score, brier_score_scaled, log_loss of the stream."""
-    preds = models.score(splits.windows(emails, size), configs)
+    preds = models.score(splits.windows(emails, size), configs, hash_mode=hash_mode)
     one = preds.groupBy(*KEYS).agg(metrics.brier(F.col("score"), F.col("spam")).alias("brier_score"), metrics.log_loss(F.col("score"), F.col("spam")).alias("log_loss"), F.avg("spam").alias("_rate"))
     return one.select(*KEYS, "brier_score", metrics.brier_skill(F.col("brier_score"), F.col("_rate")).alias("brier_score_scaled"), "log_loss")
 

@@ -6,7 +6,7 @@
 from __future__ import annotations
 
 from tallyflow.operators.models import Config
-from tallyflow.plans.queries import CM, CURVE_SIZES, FH, FH2, GRID, WINDOW
+from tallyflow.plans.queries import CM, CORPORA, CURVE_SIZES, FH, FH2, GRID, MURMUR, WIDE_SIZES, WINDOW
 
 _E = "e AS MATERIALIZED (SELECT d.doc_id, coalesce(d.text, '') AS body, l.toxic::BIGINT AS spam, row_number() OVER (ORDER BY d.doc_id) - 1 AS seq FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.toxic IS NOT NULL)"
 _ELS = "CASE WHEN body = '' THEN [] ELSE regexp_extract_all(substring(body, 1, length(body) - 1) || ' ', '[^ \n]*[ \n]') END"
@@ -141,11 +141,19 @@ def _thresholds(keys: str = "", preds: str = "p") -> str:
 _STRAT = "strat AS MATERIALIZED (SELECT doc_id, body, spam, seq, CASE WHEN row_number() OVER (PARTITION BY spam ORDER BY seq) <= floor(0.8::DOUBLE * count(*) OVER (PARTITION BY spam)) THEN 'dev' ELSE 'test' END AS split FROM {0})"
 
 
-def _search() -> str:
+def _part(split: str, slot: str, order: str = "doc_id") -> str:
+    """e: one part of the split, its positions in the given order."""
+    return f"{_E.replace('e AS', 'ee AS', 1)}, {_STRAT.format('ee')}, e0 AS (SELECT doc_id, body, spam, row_number() OVER (ORDER BY {order}) - 1 AS seq FROM strat WHERE split = '{split}'), e AS MATERIALIZED (SELECT *, ({slot})::BIGINT AS slot, true AS trains FROM e0)"
+
+
+def _chosen(order: str = "doc_id") -> str:
+    return f"{scores(GRID, 'folds', head=_part('dev', 'seq % 5', order))}, {_roc(f'{_KEYS}, slot')}, {_cv(f'{_KEYS}, slot')}, {_best()} SELECT * FROM chosen"
+
+
+def _search(order: str = "doc_id") -> str:
     """The whole search as one statement: three rounds of scores, each inside its own scope."""
-    base = f"{_E.replace('e AS', 'ee AS', 1)}, {_STRAT.format('ee')}"
-    part = lambda s, slot: f"{base}, e0 AS (SELECT doc_id, body, spam, row_number() OVER (ORDER BY doc_id) - 1 AS seq FROM strat WHERE split = '{s}'), e AS MATERIALIZED (SELECT *, ({slot})::BIGINT AS slot, true AS trains FROM e0)"
-    chosen = f"{scores(GRID, 'folds', head=part('dev', 'seq % 5'))}, {_roc(f'{_KEYS}, slot')}, {_cv(f'{_KEYS}, slot')}, {_best()} SELECT * FROM chosen"
+    part = lambda s, slot: _part(s, slot, order)
+    chosen = _chosen(order)
     tuned = f"{scores(GRID, 'in_sample', head=part('dev', '0'))}, {_thresholds(_KEYS)}, tr AS (SELECT {_KEYS}, threshold, {_rates(digits=None)} FROM tm) SELECT * FROM tr QUALIFY row_number() OVER (PARTITION BY {_KEYS} ORDER BY round(f05, 9) DESC, threshold) = 1"
     test = f"{scores(GRID, 'prequential', 1, head=part('test', 'seq'))} SELECT * FROM p"
     names = ("precision", "recall", "f1", "f05", "accuracy")
@@ -169,14 +177,26 @@ est AS (SELECT ng, spam_true, ham_true, min(s) AS spam_est, min(h) AS ham_est FR
 _SCORE_OUT = "SELECT doc_id, spam, slot, score FROM p"
 _DIMS = " UNION ALL ".join(f"SELECT '{d}' AS dimension, classifier, {d}::BIGINT AS level, count(*) AS n, round(avg(accuracy), 9) AS mean_accuracy, round(stddev_samp(accuracy), 9) AS std_accuracy, round(avg(f05), 9) AS mean_f05, round(stddev_samp(f05), 9) AS std_f05 FROM sw GROUP BY classifier, {d}" for d in ("ngram", "log_buckets", "num_hashes"))
 _ORDER = "CASE classifier WHEN 'FH' THEN 0 ELSE 1 END, ngram, log_buckets, num_hashes"
-_CURVES = " UNION ALL ".join(
-    f"SELECT {size} AS \"window\", * FROM ({scores([FH, CM], size=size)}, a AS (SELECT {_KEYS}, slot, count(*) AS n, {_CONF.format('score > 0.5')} FROM p GROUP BY {_KEYS}, slot), b AS (SELECT {_KEYS}, slot AS step, sum(n) OVER w AS num_examples, sum(tp) OVER w AS tp, sum(fp) OVER w AS fp, sum(tn) OVER w AS tn, sum(fn) OVER w AS fn FROM a WINDOW w AS (PARTITION BY {_KEYS} ORDER BY slot)) SELECT {_KEYS}, step, num_examples::BIGINT AS num_examples, {_rates()} FROM b)"
-    for size in CURVE_SIZES
-)
+_CURVE_OF = {
+    size: f"SELECT {size} AS \"window\", * FROM ({scores([FH, CM], size=size)}, a AS (SELECT {_KEYS}, slot, count(*) AS n, {_CONF.format('score > 0.5')} FROM p GROUP BY {_KEYS}, slot), b AS (SELECT {_KEYS}, slot AS step, sum(n) OVER w AS num_examples, sum(tp) OVER w AS tp, sum(fp) OVER w AS fp, sum(tn) OVER w AS tn, sum(fn) OVER w AS fn FROM a WINDOW w AS (PARTITION BY {_KEYS} ORDER BY slot)) SELECT {_KEYS}, step, num_examples::BIGINT AS num_examples, {_rates()} FROM b)"
+    for size in (*CURVE_SIZES, *WIDE_SIZES)
+}
+_CURVES, _WIDE = (" UNION ALL ".join(_CURVE_OF[s] for s in sizes) for sizes in (CURVE_SIZES, WIDE_SIZES))
 _THIN = "q AS (SELECT *, lead(spam) OVER ({0}ORDER BY rn) AS nx FROM r WHERE positives > 0 AND negatives > 0), cp AS (SELECT {1}rn, score AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, (negatives - fp)::BIGINT AS tn, (positives - tp)::BIGINT AS fn FROM q WHERE rn = 1 OR nx IS NULL OR nx <> spam)"
 _UNLABELLED = f"{_E.replace('e AS', 'l0 AS', 1)}, e AS MATERIALIZED (SELECT doc_id, body, spam, seq, 0::BIGINT AS slot, true AS trains FROM l0 UNION ALL SELECT doc_id, coalesce(text, ''), 0, -1, 0, false FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels))"
 _WARM = f"{_E.replace('e AS', 'ee AS', 1)}, {_STRAT.format('ee')}, e AS MATERIALIZED (SELECT doc_id, body, spam, seq, 0::BIGINT AS slot, split = 'dev' AS trains FROM strat)"
-_RAW = "list_transform(string_split('EMAIL> label=' || spam || ' doc' || chr(10) || body || chr(10), chr(10)), lambda x: x)"
+_LINES = "lines AS MATERIALIZED (SELECT source, unnest(range(len(a))) AS line_no, unnest(a) AS line FROM (SELECT source, string_split(raw, chr(10)) AS a FROM files))"
+#: mails: source, email_no, header, body of the lines of files.
+_PARSED = f"""{_LINES},
+cut AS (SELECT *, line = '' AS blank, starts_with(line, 'EMAIL> ') AS head, coalesce(sum((line = '')::INT) OVER (PARTITION BY source ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM lines),
+segs AS (SELECT source, seg, arg_max(line, line_no) FILTER (WHERE head) AS header, bool_or(blank) AS closed, coalesce(string_agg(line, '' ORDER BY line_no) FILTER (WHERE NOT blank AND NOT head), '') AS body FROM cut GROUP BY source, seg),
+nums AS (SELECT *, closed AND header IS NOT NULL AS emits, coalesce(sum((closed AND header IS NOT NULL)::INT) OVER (PARTITION BY source ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS email_no FROM segs),
+mails AS (SELECT source, email_no, max(header) FILTER (WHERE emits) AS header, string_agg(body, '' ORDER BY seg) AS body FROM nums GROUP BY source, email_no HAVING bool_or(emits))"""
+_IS_SPAM = "(substr(header, 14, 1) = '1')::BIGINT"
+_FILES = f"files AS (SELECT doc_id % {CORPORA} AS source, string_agg('EMAIL> label=' || spam || ' ' || doc_id || chr(10) || body || chr(10) || chr(10), '' ORDER BY doc_id) AS raw FROM e GROUP BY 1)"
+_POINTS = f"ch AS MATERIALIZED ({_chosen()}), pt AS MATERIALIZED ({scores(GRID, 'in_sample', head=_part('dev', '0'))}, {_roc(_KEYS)}, {_THIN.format(f'PARTITION BY {_KEYS} ', f'{_KEYS}, ')} SELECT * FROM cp)"
+_POINT = f"optimized_for, {_KEYS}, rn, threshold, tp, fp, tn, fn"
+_SEED42 = "md5('42:' || doc_id), doc_id"
 
 SQL: dict[str, str] = {
     "corpus_profile": f"WITH {_E} SELECT count(*) AS num_emails, sum(spam)::BIGINT AS num_spam, 100 * avg(spam) AS spam_percent FROM e",
@@ -227,4 +247,18 @@ SQL: dict[str, str] = {
     "curve_auc": f"{_FH_FOLDS}, {_roc('slot')}, {_THIN.format('PARTITION BY slot ', 'slot, ')}, z AS (SELECT slot, {_RATE['fpr']}::DOUBLE AS f, {_R}::DOUBLE AS t FROM cp), zz AS (SELECT slot, (f - lag(f, 1, 0) OVER w) * (t + lag(t, 1, 0) OVER w) / 2 AS s FROM z WINDOW w AS (PARTITION BY slot ORDER BY f, t)) SELECT slot AS fold, round(sum(s), 9) AS auc FROM zz GROUP BY slot",
     "space_usage": "SELECT CASE d WHEN 0 THEN 'FH' ELSE 'CM' END AS classifier, d AS num_hashes, b::INT AS log_buckets, (16::BIGINT << b::INT) * greatest(d, 1) AS bytes FROM range(8, 22) x(b), (VALUES (0), (2), (3), (4), (5)) y(d)",
     "streaming_prequential": f"{scores([CM], size=200)} {_SCORE_OUT}",
+    "parsed_corpus": f"WITH {_E}, files AS (SELECT doc_id AS source, 'EMAIL> label=' || spam || ' doc' || chr(10) || body || chr(10) AS raw FROM e), {_PARSED} SELECT source AS doc_id, email_no::BIGINT AS email_no, length(body)::BIGINT AS body_chars, md5(body) AS body_md5, {_IS_SPAM} AS is_spam FROM mails",
+    "corpus_load": f"WITH {_E}, {_FILES}, {_PARSED}, m AS (SELECT *, row_number() OVER (ORDER BY source, email_no) - 1 AS doc_id FROM mails) SELECT doc_id, header, md5(body) AS body_md5, {_IS_SPAM} AS spam, row_number() OVER (ORDER BY md5('12:' || doc_id), doc_id) - 1 AS seq FROM m",
+    "baseline_precision": f"WITH {_E} SELECT round(avg(spam), 9) AS baseline_precision FROM e",
+    "murmur_buckets": f"SELECT key, hash_row::BIGINT AS hash_row, bucket10::BIGINT AS bucket10, bucket20::BIGINT AS bucket20 FROM (VALUES {', '.join(map(str, MURMUR))}) t(key, hash_row, bucket10, bucket20)",
+    "kept_classifier": f"{scores([FH], 'split', head=_WARM)} SELECT doc_id, score, (score > 0.5)::BIGINT AS pred, (SELECT count(*) FROM e WHERE trains) AS num_examples FROM p",
+    "held_out_confusion": f"{scores([FH, CM], 'split', head=_WARM)}, cm AS (SELECT {_KEYS}, {_CONF.format('score > 0.5')} FROM p GROUP BY {_KEYS}) SELECT *, {_rates()} FROM cm",
+    "shuffled_split": f"WITH {_E}, {_STRAT.format('e')} SELECT doc_id, split, row_number() OVER (PARTITION BY split ORDER BY {_SEED42}) - 1 AS seq FROM strat",
+    "pr_curve": f"WITH {_POINTS} SELECT {_POINT}, {_rates(('precision', 'recall', 'f1', 'f05', 'accuracy'))} FROM ch JOIN pt USING ({_KEYS})",
+    "roc_curve": f"WITH {_POINTS} SELECT {_POINT}, round({_R}::DOUBLE, 9) AS tpr, {_rates(('fpr', 'accuracy'))} FROM ch JOIN pt USING ({_KEYS})",
+    "stream_curves": f"{scores(GRID, 'prequential', 1)}, {_roc(_KEYS)}, {_THIN.format(f'PARTITION BY {_KEYS} ', f'{_KEYS}, ')} SELECT {_KEYS}, rn, threshold, tp, fp, tn, fn, {_rates(('precision', 'recall', 'f1', 'f05', 'fpr', 'accuracy'))} FROM cp",
+    "experiment_tables": f"{_search(_SEED42)} SELECT * FROM out",
+    "learning_curves_wide": _WIDE,
+    "learning_curve_slice": f"SELECT * FROM ({_CURVE_OF[CURVE_SIZES[-1]]}) WHERE classifier = 'FH'",
+    "csv_round_trip": f"{_SWEEP} SELECT {_KEYS}, {_rounded(_RATE)} FROM sw",
 }

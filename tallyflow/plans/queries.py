@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyflow.functions import hashing, metrics, tokens
 from tallyflow.operators import curves, models, reports, splits, tuning
+from tallyflow.operators.classifier import Classifier
 from tallyflow.operators.models import Config
 from tallyflow.operators.running import dealt
+from tallyflow.plans import experiments
 from tallyflow.plans.inputs import emails, table
-from tallyflow.sources import corpus
+from tallyflow.sources import corpus, csvfiles
 from tallyflow.sources.shared import shared_folder, written
 from tallyflow.streaming.prequential import StreamingModel
 
@@ -23,7 +25,9 @@ FH2 = Config("FH", 2, 14)
 WINDOW = 50
 #: Grid of the search queries: both classifiers, small enough to check each number in SQL.
 GRID = models.grid([1, 2], [10, 12], [2, 3])
-CURVE_SIZES = [20, 50]
+CURVE_SIZES, WIDE_SIZES = [20, 50], experiments.CURVE_SIZES
+#: Corpora that `corpus_load` writes and reads.
+CORPORA = 5
 KEYS = tuning.KEYS
 
 
@@ -45,6 +49,30 @@ def parsed_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.parse_lines(lines).select(F.col("source").cast("long").alias("doc_id"), "email_no", F.char_length("body").cast("long").alias("body_chars"), F.md5("body").alias("body_md5"), "is_spam")
 
 
+def corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents as five mail files and one that is missing, loaded and shuffled: what follows an empty line in a text goes to the next email."""
+    at = shared_folder(spark, "corpora")
+    e = emails(spark, sf_dir).select((F.col("doc_id") % CORPORA).alias("corpus"), "doc_id", F.concat(F.lit("EMAIL> label="), F.col("spam").cast("string"), F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n"), "body", F.lit("\n")).alias("value"))
+    e.repartition(CORPORA, "corpus").sortWithinPartitions("corpus", "doc_id").drop("doc_id").write.partitionBy("corpus").text(at)
+    found = corpus.load(spark, [f"{at}/corpus={i}" for i in range(CORPORA)] + [f"{at}/missing"])
+    return found.select("doc_id", "header", F.md5("body").alias("body_md5"), "spam", "seq")
+
+
+def baseline_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.baseline_precision(emails(spark, sf_dir)).select(F.round("baseline_precision", 9).alias("baseline_precision"))
+
+
+#: Published and independently computed hashes: key, row of a sketch (-1: feature hashing), buckets of 2^10 and of 2^20.
+MURMUR = [("", -1, 56, 113720), ("", 0, 0, 0), ("a", -1, 277, 971029), ("a", 0, 467, 520659), ("a", 1, 668, 965276), ("free", -1, 343, 482647), ("free money", -1, 131, 815235), ("free money", 1, 852, 566100), ("click here now", -1, 831, 31551), ("the quick brown fox jumps over", -1, 536, 516632), ("the quick brown fox jumps over", 2, 194, 505026)]
+
+
+def murmur_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = spark.createDataFrame([(k, i) for k, i, *_ in MURMUR], "key string, hash_row long")
+    every = keys.withColumns({"fh": hashing.feature_hash(F.col("key"), "murmur")[0], "cm": hashing.sketch_hashes(F.col("key"), 3, "murmur")})
+    h = F.when(F.col("hash_row") < 0, F.col("fh")).otherwise(F.get("cm", F.col("hash_row").cast("int")))
+    return every.select("key", "hash_row", hashing.bucket(h, 10).alias("bucket10"), hashing.bucket(h, 20).alias("bucket20"))
+
+
 def shuffle_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.shuffled(emails(spark, sf_dir)).select("doc_id", "seq")
 
@@ -126,6 +154,22 @@ def nb_warm_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(models.score(e.drop("split"), [FH], "split"))
 
 
+def kept_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained on half of the development part, saved, loaded, trained on the other half; the test part classified."""
+    e = written(splits.stratified(emails(spark, sf_dir)), "split")
+    at, dev = shared_folder(spark, "kept"), e.where("split = 'dev'")
+    Classifier.empty(spark, FH, "md5").update(dev.where("seq % 2 = 0")).save(at)
+    whole = Classifier.load(spark, at).update(dev.where("seq % 2 = 1"))
+    found = whole.classify(e.where("split = 'test'"))
+    return found.select("doc_id", "score", F.col("is_spam").cast("long").alias("pred"), F.lit(whole.num_examples_processed).cast("long").alias("num_examples"))
+
+
+def held_out_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = splits.stratified(emails(spark, sf_dir)).withColumn("trains", F.col("split") == "dev").drop("split")
+    c = tuning.held_out(e, [FH, CM])
+    return c.select(*KEYS, *metrics.CONFUSION, *(F.round(r, 9).alias(r) for r in metrics.RATES))
+
+
 def nb_murmur_prequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _score_columns(_scored(spark, sf_dir, CM, hash_mode="murmur"))
 
@@ -177,6 +221,13 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.stratified(emails(spark, sf_dir)).select("doc_id", "spam", "split")
 
 
+def shuffled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of the split, each in an order of its own shuffled by seed 42."""
+    e = written(splits.stratified(emails(spark, sf_dir)).select("doc_id", "split"), "split")
+    dev, test = (splits.shuffled(e.where(F.col("split") == s), 42) for s in ("dev", "test"))
+    return dev.unionByName(test)
+
+
 def split_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = corpus.profile(splits.stratified(emails(spark, sf_dir)), "split")
     return p.select("split", "num_emails", "num_spam", F.round("spam_percent", 9).alias("spam_percent"))
@@ -241,6 +292,52 @@ def dev_test_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gap.withColumn("gap", F.round("gap", 6))
 
 
+def _chosen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = written(splits.stratified(emails(spark, sf_dir)), "split")
+    dev = splits.with_sequence(e.where("split = 'dev'").drop("split", "seq"), "doc_id")
+    chosen = written(tuning.select_best(tuning.averaged(tuning.cross_validation(dev, GRID))), "chosen")
+    return tuning.chosen_curves(dev, chosen, GRID)
+
+
+def pr_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision-recall table of each chosen configuration."""
+    p = curves.pr_table(_chosen_points(spark, sf_dir))
+    return p.select("optimized_for", *KEYS, "rn", "threshold", *metrics.CONFUSION, *(F.round(r, 9).alias(r) for r in ("precision", "recall", "f1", "f05", "accuracy")))
+
+
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ROC table of each chosen configuration."""
+    p = curves.roc_table(_chosen_points(spark, sf_dir))
+    return p.select("optimized_for", *KEYS, "rn", "threshold", *metrics.CONFUSION, *(F.round(r, 9).alias(r) for r in ("tpr", "fpr", "accuracy")))
+
+
+def stream_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Curve points of the stream for every configuration of the grid."""
+    p = tuning.stream_curves(emails(spark, sf_dir), GRID)
+    return p.select(*KEYS, "rn", "threshold", *metrics.CONFUSION, *(F.round(r, 9).alias(r) for r in ("precision", "recall", "f1", "f05", "fpr", "accuracy")))
+
+
+def experiment_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every experiment, written as CSV; the evaluation table read back."""
+    at = shared_folder(spark, "experiments")
+    experiments.run(emails(spark, sf_dir), at, GRID, [FH, CM], [50], "md5")
+    out = csvfiles.read_csv(spark, f"{at}/evaluation_results.csv", "evaluation_results")
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+
+
+def learning_curves_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 200 to 2,000 emails."""
+    c = tuning.learning_curves(emails(spark, sf_dir), [FH, CM], WIDE_SIZES)
+    return c.select("window", *KEYS, "step", "num_examples", *(F.round(r, 9).alias(r) for r in metrics.RATES))
+
+
+def learning_curve_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = tuning.learning_curves(emails(spark, sf_dir), [FH, CM], CURVE_SIZES)
+    wanted = spark.createDataFrame([tuple(getattr(FH, k) for k in KEYS)], "classifier string, ngram int, log_buckets int, num_hashes int")
+    s = reports.learning_curve_slice(c, wanted, CURVE_SIZES[-1])
+    return s.select("window", *KEYS, "step", "num_examples", *(F.round(r, 9).alias(r) for r in metrics.RATES))
+
+
 def learning_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = tuning.learning_curves(emails(spark, sf_dir), [FH, CM], CURVE_SIZES)
     return c.select("window", *KEYS, "step", "num_examples", *(F.round(r, 9).alias(r) for r in metrics.RATES))
@@ -255,6 +352,13 @@ def parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(*KEYS, *(F.round(r, 9).alias(r) for r in metrics.RATES))
 
 
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep written as CSV and read back."""
+    at = shared_folder(spark, "csv")
+    csvfiles.write_csv(tuning.sweep(emails(spark, sf_dir), GRID), at, "parameter_sweep")
+    return csvfiles.read_csv(spark, at, "parameter_sweep").select(*KEYS, *(F.round(r, 9).alias(r) for r in metrics.RATES))
+
+
 def pivot_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = reports.pivot_by_buckets(_sweep(spark, sf_dir), "accuracy", [10, 12])
     return p.select("classifier", "ngram", *(F.round(c, 9).alias(c) for c in ("b10", "b12")))
@@ -315,7 +419,8 @@ _ALL: tuple[Query, ...] = (
     nb_warm_split, nb_murmur_prequential, score_unlabelled, classify, confusion, fbeta, brier_logloss, stream_metrics, stream_roc, stratified_split,
     split_profile, kfold_assign, roc_points, roc_points_grouped, curve_points, threshold_sweep, best_threshold, cv_metrics, cv_average, select_best,
     parameter_search, dev_test_gap, learning_curves, parameter_sweep, pivot_sweep, sweep_mean_std, best_config, grid_search_f05, config_report, calibration, curve_auc,
-    space_usage, streaming_prequential,
+    space_usage, streaming_prequential, corpus_load, baseline_precision, murmur_buckets, kept_classifier, held_out_confusion, shuffled_split, pr_curve, roc_curve,
+    stream_curves, experiment_tables, learning_curves_wide, learning_curve_slice, csv_round_trip,
 )
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}

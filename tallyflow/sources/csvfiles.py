@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CONFIG = "classifier string, ngram int, log_buckets int, num_hashes int"
 _RATES = "{0}precision double, {0}recall double, {0}f1 double, {0}f05 double, {0}accuracy double"
 _COUNTS = "threshold double, tp bigint, fp bigint, tn bigint, fn bigint"
 
-#: The result tables' columns.
+# Long names of the classifiers in published result tables.
+CLASSIFIERS = {"FeatureHashing": "FH", "CountMin": "CM"}
+
+#: The result tables' columns.
 SCHEMAS = {
     "cv_results": f"{_CONFIG}, fold bigint, recall_at_fpr_001 double, recall_at_fpr_0001 double, auc double, recall_at_prec_99 double, recall_at_prec_95 double, brier_score double",
     "pr_curve": f"{_CONFIG}, optimized_for string, {_COUNTS}, precision double, recall double, f1 double, f05 double, accuracy double",
@@ -32,9 +36,11 @@ def write_csv(df: DataFrame, path: str, table: str | None = None) -> None:
 
 
 def read_csv(spark: SparkSession, path: str, table: str) -> DataFrame | None:
-    """The table, or None with a warning if nothing is at the path."""
+    """The table, or None with a warning if nothing is at the path. Long names of classifiers become short ones."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
         print(f"warning: {path} doesn't exist and is left out")
         return None
-    return spark.read.schema(SCHEMAS[table]).csv(path, header=True)
+    rows = spark.read.schema(SCHEMAS[table]).csv(path, header=True)
+    short = F.coalesce(*(F.when(F.col("classifier") == long, F.lit(s)) for long, s in CLASSIFIERS.items()), F.col("classifier"))
+    return rows.withColumn("classifier", short)
