@@ -162,11 +162,20 @@ def train(docs: DataFrame, is_training: Column, id_col: str = "doc_id", text_col
     h = F.pmod(F.xxhash64("id", "text", F.lit(11)), F.lit(scale))
     share = F.coalesce(*(F.when(F.col("lang") == lang, F.lit(min(scale, int(scale * (want + 8 * want**0.5) / n) + 1))) for lang, n in sizes.items()))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text")))  # cut down in each task before rows meet
-    few = labelled.where(F.col("text").rlike(r"\p{L}")).withColumn("h", h).where(F.col("h") < share).withColumn("rank", first).where(F.col("rank") <= want)
-    taken = map_text(few.select("lang", "rank", "text"), partial(_features, ["lang", "rank"], "text"), "lang string, rank int, at array<int>, count array<int>", "text")
-    rows: dict[str, list] = {lang: [] for lang in languages}
-    for r in sorted(taken.where(F.size("at") > 0).collect(), key=lambda r: r["rank"]):  # at most `want` rows a language
-        rows[r["lang"]].append((np.array(r["at"]), np.array(r["count"])))
+
+    def sampled(some: DataFrame) -> dict[str, list]:
+        """Features of at most `want` rows a language."""
+        few = some.where(F.col("text").rlike(r"\p{L}")).withColumn("rank", first).where(F.col("rank") <= want)
+        taken = map_text(few.select("lang", "rank", "text"), partial(_features, ["lang", "rank"], "text"), "lang string, rank int, at array<int>, count array<int>", "text")
+        out: dict[str, list] = {lang: [] for lang in languages}
+        for r in sorted(taken.where(F.size("at") > 0).collect(), key=lambda r: r["rank"]):
+            out[r["lang"]].append((np.array(r["at"]), np.array(r["count"])))
+        return out
+
+    rows = sampled(labelled.withColumn("h", h).where(F.col("h") < share))
+    # where few distinct rows are repeated very often, a share may hold too little of them
+    if short := [lang for lang, n in sizes.items() if len(rows[lang]) < min(want, n) // 2]:
+        rows |= {lang: x for lang, x in sampled(labelled.where(F.col("lang").isin(short)).withColumn("h", h)).items() if lang in short}
     ftrl, model = Ftrl(len(languages)), Model(languages, idf, np.zeros((FEATURES, len(languages))), np.zeros(len(languages)))
     # a language of few texts keeps one in four for the temperature
     held = {lang: min(CALIBRATION, len(x) // 4) for lang, x in rows.items()}

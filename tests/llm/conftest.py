@@ -13,3 +13,9 @@ def documents(spark):
     return make
 
 
+
+
+def pytest_collection_modifyitems(items):
+    """The test of the pipeline whose near duplicates are 3-bit links contradicts the stage's setting (README, Open): it runs last, so that
+    `-x` doesn't keep the others from running."""
+    items.sort(key=lambda i: i.name == "test_pipeline_is_its_stages_by_brute_force")
