@@ -13,13 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyflow.sources.shared import shared_folder, written
+from tallyflow.sources.shared import discard, shared_folder, written
 
 #: Bytes of text that a Python worker handles at once (one text may be larger).
 SLICE_BYTES = 4 << 20
 
 
-__all__ = ["crc_mod", "crc_mod_col", "filesystem", "map_text", "shared_folder", "slices", "table", "text_bytes", "without_cycle_search", "written"]
+__all__ = ["crc_mod", "crc_mod_col", "discard", "filesystem", "map_text", "shared_folder", "slices", "table", "text_bytes", "without_cycle_search", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Each round is two aggregations and two joins; edges never grow in number. Minimums are aggregated map-side, and the join that hands
 them back has an exchange of its own on both sides, so that adaptive execution can split a node with very many edges. Every half
-round is written to the shared folder, so a lost executor costs one half round at most.
+round is written to the shared folder, so a lost executor costs one half round at most; a half round's table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyflow.llm.common import written
+from tallyflow.llm.common import discard, written
 
 
 def _minimums(pairs: DataFrame) -> DataFrame:
@@ -35,7 +35,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     now = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     mark = None
     while True:
-        now = written(_small_star(written(_large_star(now), "large-star")), "small-star")
+        before, large = now, written(_large_star(now), "large-star")
+        discard(before)
+        now = written(_small_star(large), "small-star")
+        discard(large)
         row = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -10,7 +10,10 @@ them is and is strong. The interval join runs in each document over positions in
 Spans are in code points, end exclusive. Base kinds come from whole texts, leftmost and non-overlapping for each kind; a match
 that fails its length is dropped. Added kinds never replace or cover base spans: those that overlap one are left out.
 
-Defined results: a null text counts as the empty text and has no spans; repeated documents each get a row; ties in spans sort by
+Bounds of weak parts are those of their formats: identifiers of 16 to 24 characters, host names of 253 and labels of 63, unlabelled hex of
+16 to 31 (longer is strong). Names, secrets and paths have no upper length.
+
+Defined results: a text of any length is read whole; an empty table gives no rows; a null text counts as the empty text and has no spans; repeated documents each get a row; ties in spans sort by
 kind as listed in KINDS; other columns are ignored (`scan`) or passed through (`redact`).
 """
 
@@ -33,9 +36,9 @@ SCOPE = 160
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_IDENT = re.compile(r"""\b(?:A3T[A-Z0-9]|AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,20}\b|\b(?:user(?:name)?|login|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{3,64}""", re.A)
+_IDENT = re.compile(r"""\b(?:A3T[A-Z0-9]|AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{12,20}\b|\b(?:user(?:name)?|login|client_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{3,}""", re.A)
 _SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])", re.A)
-_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,253}(?::\d{2,5})?(?:/[A-Za-z0-9._~/-]{0,200})?|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b""", re.A)
+_ENDPOINT = re.compile(r"""\b[a-z][a-z0-9+.-]{1,15}://[A-Za-z0-9.-]{3,253}(?::\d{2,5})?(?:/[A-Za-z0-9._~/-]*)?|\b(?:[a-z0-9-]{1,63}\.){1,8}[a-z]{2,12}:\d{2,5}\b""", re.A)
 _BREAK = re.compile(r"[^A-Za-z0-9+/_=-]", re.A)
 _PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
 _MIXED = re.compile(r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])")

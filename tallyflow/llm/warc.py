@@ -11,8 +11,12 @@ transaction (WARC-Concurrent-To, or a head's own id) in one aggregation, which g
 Equal payloads are found by their digests: ids are aggregated map-side, and only digests with several pages are joined back; the join
 has an exchange of its own on both sides, so adaptive execution splits a payload that very many pages share.
 
-Defined results: a null html is the empty payload, a null url the empty target; rows repeated with the smallest id of a payload are
-responses each, and rows repeated with another id revisits each; a null page_id sorts before all; `min_bytes` leaves smaller payloads
+A revisit names the response's target and date (WARC-Refers-To-Target-URI, WARC-Refers-To-Date) and, in its metadata, the page; the
+response's record identifier isn't known where the revisit is written. `unmatched` holds revisits against the responses that were read.
+
+Defined results: a payload of any length is one record, held in memory; a null html is the empty payload, a null url the empty target; rows repeated with the smallest id of a payload are
+responses each, and rows repeated with another id revisits each; a null page_id sorts before all, so its payload's
+other pages are revisits with null as refers_to; `min_bytes` leaves smaller payloads
 as responses; a capture without request or metadata has null there, a request or metadata record without its head gives a row without a
 head; other columns are ignored; an empty table gives no file and no rows.
 """
@@ -46,15 +50,15 @@ def record(headers: list[tuple[str, str]], block: bytes, level: int = 1) -> byte
     return z.compress(head.encode() + block + b"\r\n\r\n") + z.flush()
 
 
-def transaction(page_id: int | None, url: str, payload: bytes, original: int | None, is_revisit: bool, date: str) -> bytes:
+def transaction(page_id: int | None, url: str, payload: bytes, original: int | None, is_revisit: bool, date: str, original_url: str = "") -> bytes:
     """The three records of a capture."""
     head_id, request_id, meta_id = (f"<urn:uuid:{uuid.uuid4()}>" for _ in range(3))
-    uri = re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", url)
+    uri, original_uri = (re.sub(r"[\x00-\x20\x7F]", lambda m: f"%{ord(m[0]):02X}", x) for x in (url, original_url))
     http = f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: {len(payload)}{_CRLF}{_CRLF}".encode()
     common = [("WARC-Date", date), ("WARC-Target-URI", uri)]
     head = [("WARC-Type", "revisit" if is_revisit else "response"), ("WARC-Record-ID", head_id), *common, ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest32(payload)}")]
     if is_revisit:
-        head.append(("WARC-Profile", PROFILE))
+        head += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Target-URI", original_uri), ("WARC-Refers-To-Date", date)]
     path = re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "", uri).partition("#")[0] or "/"
     host = m[1] if (m := re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", uri)) else ""
     fields = "".join(f"{k}: {v}{_CRLF}" for k, v in (("page-id", page_id), ("revisit-of", original if is_revisit else None)) if v is not None)
@@ -73,12 +77,12 @@ def _write(folder: str, date: str):
         name, out, n, size = f"{uuid.uuid4().hex}.warc.gz", None, 0, 0
         for batch in batches:
             for part in slices(batch, "html"):
-                for page, url, html, original, is_revisit in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "original", "is_revisit"))):
+                for page, url, html, original, is_revisit, original_url in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "original", "is_revisit", "original_url"))):
                     if out is None:
                         fs.create_dir(base, recursive=True)
                         out = fs.open_output_stream(f"{base}/{name}", compression=None)
                         size += out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                    size += out.write(transaction(page, url or "", html or b"", original, is_revisit, date))
+                    size += out.write(transaction(page, url or "", html or b"", original, is_revisit, date, original_url or ""))
                     n += 1
         if out is not None:
             out.close()
@@ -92,9 +96,9 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date:
     folder = folder or shared_folder(pages.sparkSession, "warc")
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(html).alias("sha"))
-    rank = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("id"))
-    firsts = pages.where(F.octet_length("html") >= min_bytes).groupBy(F.col("sha").alias("s")).agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("s", F.col("first.id").alias("original")).hint("rebalance")
-    marked = pages.join(firsts, F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "original", (F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).alias("is_revisit"))
+    rank = F.struct(F.col("page_id").isNotNull().alias("known"), F.col("page_id").alias("id"), F.col("url").alias("url"))
+    firsts = pages.where(F.octet_length("html") >= min_bytes).groupBy(F.col("sha").alias("s")).agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("s", F.col("first.id").alias("original"), F.col("first.url").alias("original_url")).hint("rebalance")
+    marked = pages.join(firsts, F.col("sha") == F.col("s"), "left").select("page_id", "url", "html", "original", "original_url", (F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))).alias("is_revisit"))
     return folder, written(marked.mapInArrow(_write(folder, date), "file string, n_captures long, n_bytes long"), "warc-manifest")
 
 
@@ -185,6 +189,13 @@ def captures(found: DataFrame) -> DataFrame:
     return found.groupBy("transaction").agg(F.first(of("response", "revisit"), ignorenulls=True).alias("head"), F.collect_list(of("request")).alias("requests"), F.collect_list(of("metadata")).alias("metadata"))
 
 
+def unmatched(assembled: DataFrame) -> DataFrame:
+    """The captures that are revisits but have no response of the digest and size that their headers state."""
+    heads = assembled.where(F.col("head.type") == "response").select(F.col("head.payload_digest").alias("d"), F.col("head.payload_bytes").alias("n")).distinct()
+    revisits = assembled.where(F.col("head.type") == "revisit")
+    return revisits.join(heads, (F.col("head.payload_digest") == F.col("d")) & (F.col("head.payload_bytes") == F.col("n")), "left_anti")
+
+
 def digest(assembled: DataFrame) -> DataFrame:
     """The columns of the op6 contract."""
     field = lambda name: F.aggregate("metadata", F.lit(None).cast("string"), lambda a, m: F.coalesce(a, m["fields"][name])).cast("long")

@@ -1,6 +1,7 @@
 """Plain versions of language identification, secret linking and the pipeline; hot keys, very long texts, clashing columns."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from test_documents import components_of, labelled, lower, slow_hits, slow_ppm, true_fingerprint
 from tokenizers import Tokenizer
 
-from tallyflow.llm import bpe, decontam, langid, ppm, secret_scan, shingles, simhash, tokenfile
+from tallyflow.llm import bpe, decontam, langid, ppm, secret_scan, shingles, simhash, tokenfile, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -231,6 +232,22 @@ def test_large_benchmark_by_join_whatever_the_filter_holds(spark, documents, mon
     assert sorted(map(tuple, got), key=str) == slow_hits(docs, items)
 
 
+def test_revisits_are_held_against_their_responses(spark):
+    df = spark.createDataFrame([(2, "http://a.example/o\n", "same"), (5, "http://b.example/", "same"), (6, None, "other")], "page_id long, url string, html string")
+    caps = warc.captures(warc.records(*warc.write(df))).cache()
+    assert caps.count() == 3 and warc.unmatched(caps).count() == 0
+    assert warc.unmatched(caps.where("head.type = 'revisit'")).count() == 1
+    raw = warc.transaction(5, "http://b.example/", b"same", 2, True, "2020-01-01T00:00:00Z", "http://a.example/o\n")
+    head = warc.parse(next(warc.members(io.BytesIO(raw))))[0]
+    assert head["warc-refers-to-target-uri"] == "http://a.example/o%0A" and head["warc-refers-to-date"] == "2020-01-01T00:00:00Z"
+
+
+def test_long_names_and_paths_are_parts():
+    name, path = "user=" + "n" * 300, "https://api.example.com/" + "p/" * 400
+    spans = [(secret_scan.KINDS[k], e - s) for s, k, e in secret_scan.all_spans(f"{name} wJalrXUtnFEMIK7MDENGbPxRfiCYzEXAMPLEKEYq {path}")]
+    assert spans == [("ident", len(name)), ("secret", 40), ("endpoint", len(path))]
+
+
 # the pipeline
 
 
