@@ -3,8 +3,8 @@
 Strong kinds (assign, access, hex) are reported by themselves. Weak parts are not: an access identifier (`AKIA`/`ASIA` and the
 like with 16 to 24 characters, or an e-mail or user name assigned to a login word), an unlabelled secret (20 characters or more
 of base64 or URL alphabet with digits and both letter cases, or hex of 16 to 31), and an endpoint (a URL or host:port). A
-weak part is reported only if a part that completes it stands in the same scope: the interval of SCOPE code points around
-it. Identifier completes secret and secret completes identifier; an endpoint is reported if both are in its scope, or one of
+weak part is reported only if a part that completes it stands in the same scope: at most SCOPE code points lie between
+them. Identifier completes secret and secret completes identifier; an endpoint is reported if both are in its scope, or one of
 them is and is strong. The interval join runs in each document over positions in order, with bisection: no pairs are made.
 
 Spans are in code points, end exclusive. Base kinds come from whole texts, leftmost and non-overlapping for each kind; a match
@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from functools import partial
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,9 +55,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(starts: list[int], lo: int, hi: int) -> bool:
-    i = bisect_left(starts, lo)
-    return i < len(starts) and starts[i] <= hi
+class Scopes:
+    """Whether any of some intervals is within SCOPE of another: by their starts, and the furthest end among those that start before."""
+
+    def __init__(self, intervals: list[tuple[int, int]]):
+        intervals = sorted(intervals)
+        self.starts, self.ends = [s for s, _ in intervals], list(accumulate((e for _, e in intervals), max))
+
+    def reach(self, x: tuple[int, int, int]) -> bool:
+        i = bisect_right(self.starts, x[2] + SCOPE)
+        return i > 0 and self.ends[i - 1] >= x[0] - SCOPE
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -78,21 +86,17 @@ def linked_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             i += 1
         return True
 
-    strong_ids, strong_keys = [s for s, k, _ in base if k == 1], [s for s, k, _ in base if k != 1]
     ids = [x for x in ids if free(x)]
-    all_ids = sorted([*strong_ids, *(x[0] for x in ids)])
+    spans = lambda parts: [(s, e) for s, _, e in parts]
+    strong_ids, strong_keys = spans(x for x in base if x[1] == 1), spans(x for x in base if x[1] != 1)
     keys = []
-    for at in _windows([*all_ids, *(x[0] for x in ends)], text):
+    for at in _windows([*strong_ids, *spans(ids), *spans(ends)], text):
         keys += [(m.start(), 4, m.end()) for m in _SECRET.finditer(text, *at) if _plausible(m[0])]
     keys = [x for x in keys if free(x)]
-    all_keys = sorted([*strong_keys, *(x[0] for x in keys), *(x[2] for x in keys)])  # a long one may only end in a scope
-    out = [x for x in ids if _near(all_keys, x[0] - SCOPE, x[2] + SCOPE)]
-    out += [x for x in keys if _near(all_ids, x[0] - SCOPE, x[2] + SCOPE)]
-    for x in ends:
-        lo, hi = x[0] - SCOPE, x[2] + SCOPE
-        if free(x) and (_near(strong_ids, lo, hi) or _near(strong_keys, lo, hi) or _near(all_ids, lo, hi) and _near(all_keys, lo, hi)):
-            out.append(x)
-    return out
+    strong, all_ids, all_keys = Scopes(taken), Scopes([*strong_ids, *spans(ids)]), Scopes([*strong_keys, *spans(keys)])
+    out = [x for x in ids if all_keys.reach(x)]
+    out += [x for x in keys if all_ids.reach(x)]
+    return out + [x for x in ends if free(x) and (strong.reach(x) or all_ids.reach(x) and all_keys.reach(x))]
 
 
 _IDENT_HINT = re.compile(r"A3T|AKIA|ASIA|AGPA|AIDA|AROA|user|login|client", re.A)
@@ -102,11 +106,11 @@ def _plausible(s: str) -> bool:
     return bool(len(s) >= 20 and _MIXED.match(s) or _HEX_PART.match(s))
 
 
-def _windows(points: list[int], text: str):
-    """Disjoint (start, end) intervals that cover the scopes of points, and whole secrets that begin or end there."""
+def _windows(parts: list[tuple[int, int]], text: str):
+    """Disjoint (start, end) intervals that cover the scopes of parts, and whole secrets that begin or end there."""
     lo = hi = -1
-    for p in sorted(points):
-        a, b = max(0, p - SCOPE - 400), min(len(text), p + SCOPE + 700)
+    for s, e in sorted(parts):
+        a, b = max(0, s - SCOPE - 1), min(len(text), e + SCOPE + 1)
         if a > hi:
             if hi >= 0:
                 yield lo, hi
