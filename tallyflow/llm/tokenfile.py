@@ -42,7 +42,7 @@ from tallyflow.llm.common import filesystem, shared_folder, slices, without_cycl
 MAGIC, TAIL = b"TFPL0001", b"TFPLEND1"
 BLOCK_IDS = 1 << 16
 #: Bytes of pieces' ids that a worker keeps; the half used least lately goes first.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 128 << 20
 #: Of a piece in the table: its string, its ids and its place.
 _PIECE_BYTES = 190
 _SPACES = str.maketrans("\n\r\t", "   ")
@@ -150,7 +150,7 @@ class PieceEncoder:
         self.words: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-        self.held = 0
+        self.held = self.held_parts = 0
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
@@ -182,7 +182,9 @@ class PieceEncoder:
         cut = list(map(self.cut, texts))
         pieces = set().union(*cut)
         if self.held > CACHE_BYTES // 2:
-            self.older, self.words, self.parts, self.held = self.words, {"": b""}, {}, 0
+            self.older, self.words, self.held = self.words, {"": b""}, 0
+        if self.held_parts > CACHE_BYTES // 2:
+            self.parts, self.held_parts = {}, 0
         words, whole = self.words, []
         for p in pieces.difference(words):
             self.held += _PIECE_BYTES + 2 * len(p)
@@ -203,7 +205,7 @@ class PieceEncoder:
         if (ids := self.parts.get(word)) is None:
             shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
             ids = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.held += _PIECE_BYTES + 2 * len(word)
+            self.held_parts += _PIECE_BYTES + 2 * len(word)
         return ids
 
 
