@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from tallyflow.llm.common import map_text
 
 #: Words' encodings that a worker keeps, by number and by bytes; the half used least lately goes first.
-CACHE_WORDS, CACHE_BYTES = 600_000, 32 << 20
+CACHE_WORDS, CACHE_BYTES = 600_000, 96 << 20
 #: Of a word in the table: its string, its tuple and its place (token numbers are shared).
 _WORD_BYTES = 190
 
@@ -77,7 +77,7 @@ class TrieBPE:
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
         self.held = 0
-        self.stands = lru_cache(1 << 15)(self._stands)
+        self.stands = lru_cache(1 << 16)(self._stands)
 
     def _stands(self, x: int, y: int) -> bool:
         """Whether tokens x, y stay apart when their bytes are merged: their sides of the border, undone merge by merge."""
