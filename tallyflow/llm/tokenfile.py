@@ -27,6 +27,8 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -42,7 +44,7 @@ from tallyflow.llm.common import filesystem, shared_folder, slices, without_cycl
 MAGIC, TAIL = b"TFPL0001", b"TFPLEND1"
 BLOCK_IDS = 1 << 16
 #: Bytes of pieces' ids that a worker keeps; the half used least lately goes first.
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 192 << 20
 #: Of a piece in the table: its string, its ids and its place.
 _PIECE_BYTES = 190
 _SPACES = str.maketrans("\n\r\t", "   ")
@@ -132,6 +134,29 @@ class Reader:
             del held[: 4 * n]
 
 
+class _Pieces(dict):
+    """Ids of pieces, made where they are first looked up. Of two generations, the one used least lately goes first."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__({"": b""})
+        self.make, self.older, self.held = make, {}, 0
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.keep(piece, self.make(piece) if (ids := self.older.get(piece)) is None else ids)
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        self.held += _PIECE_BYTES + 2 * len(piece)
+        self[piece] = ids
+        return ids
+
+    def age(self) -> None:
+        """To be called between slices of text: bounds both generations to CACHE_BYTES."""
+        if self.held > CACHE_BYTES // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+            self[""] = b""
+
+
 class PieceEncoder:
     """The library's ids of whole texts, from those of their white-space separated pieces.
 
@@ -147,66 +172,55 @@ class PieceEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
-        self.words: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-        self.held = self.held_parts = 0
+        self.pieces = _Pieces(self._plain)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         normal, split = spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
         kinds = [x["type"] for x in normal.get("normalizers", [])]
         folds = kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in split] == ["Split", "ByteLevel"] and split[0]["behavior"] == "Removed" and split[0]["invert"] and not split[1]["add_prefix_space"] and not split[1]["use_regex"] and not spec["post_processor"]
         self.pattern = regex.compile(split[0]["pattern"]["Regex"]) if folds else None
-        #: Not for the short way: white space that splitters differ on, and the beginnings of special tokens.
-        self.odd = regex.compile("|".join(["[\x1c-\x1f\x85\xa0]", *(regex.escape(x["content"][:2]) for x in spec["added_tokens"])]))
+        #: Not for the short way: white space that splitters differ on, and the beginnings of special tokens in any case.
+        self.odd = regex.compile("|".join(["[\x1c-\x1f\x85\xa0]", *(f"(?i:{regex.escape(x['content'][:2])})" for x in spec["added_tokens"])]))
         self.symbols = {b: c for c, b in byte_symbols().items()}
 
-    def cut(self, text: str) -> list[str]:
-        if self.pattern is not None and not self.odd.search(text):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return text.lower().split()
-        return text.translate(_SPACES).split(" ")
-
-    def _is_latin(self, piece: str) -> bool:
+    def _is_plain(self, text: str) -> bool:
+        if self.pattern is None or self.odd.search(text):
+            return False
         try:
-            piece.encode("latin-1")
+            text.encode("latin-1")
         except UnicodeEncodeError:
             return False
-        return self.pattern is not None and not self.odd.search(piece) and piece == piece.lower()
+        return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = list(map(self.cut, texts))
-        pieces = set().union(*cut)
-        if self.held > CACHE_BYTES // 2:
-            self.older, self.words, self.held = self.words, {"": b""}, 0
-        if self.held_parts > CACHE_BYTES // 2:
-            self.parts, self.held_parts = {}, 0
-        words, whole = self.words, []
-        for p in pieces.difference(words):
-            self.held += _PIECE_BYTES + 2 * len(p)
-            if (ids := self.older.get(p)) is not None:
-                words[p] = ids
-            elif self._is_latin(p):
-                words[p] = self._part(p) if p.isalpha() else b"".join(map(self._part, self.pattern.findall(p)))
+        self.pieces.age()
+        get, out, rest = self.pieces.__getitem__, [], []
+        for i, text in enumerate(texts):
+            if self._is_plain(text):
+                out.append(b"".join(map(get, text.lower().split())))
             else:
-                whole.append(p)
+                out.append(b"")
+                rest.append((i, text.translate(_SPACES).split(" ")))
+        if rest:
+            self._by_library(set().union(*(cut for _, cut in rest)))
+            for i, cut in rest:
+                out[i] = b"".join(map(get, cut))
+        return out
+
+    def _by_library(self, pieces: set[str]) -> None:
+        """Brings pieces that need the whole library into the table."""
+        whole = [p for p in pieces if p not in self.pieces and p not in self.pieces.older and not (self._is_plain(p) and p == p.lower())]
         for i in range(0, len(whole), 4096):
             some = whole[i : i + 4096]
             for p, x in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                words[p] = np.array(x.ids, "<u4").tobytes()
-        get = words.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
-
-    def _part(self, word: str) -> bytes:
-        if (ids := self.parts.get(word)) is None:
-            shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
-            ids = self.parts[word] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
-            self.held_parts += _PIECE_BYTES + 2 * len(word)
-        return ids
+                self.pieces.keep(p, array("I", x.ids).tobytes())
+
+    def _plain(self, piece: str) -> bytes:
+        """The ids of a plain piece in lower case; its words, which are such pieces too, share the table."""
+        if not piece.isalpha() and (words := self.pattern.findall(piece)) != [piece]:
+            return b"".join(map(self.pieces.__getitem__, words))
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
 @lru_cache(1)
