@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from collections.abc import Iterable
 from functools import lru_cache, partial
 from itertools import chain
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from tallyflow.llm.common import map_text
 
 #: Words' encodings that a worker keeps, by number and by bytes; the half used least lately goes first.
-CACHE_WORDS, CACHE_BYTES = 600_000, 96 << 20
+CACHE_WORDS, CACHE_BYTES = 1_200_000, 128 << 20
 #: Of a word in the table: its string, its tuple and its place (token numbers are shared).
 _WORD_BYTES = 190
 
@@ -72,7 +74,8 @@ class TrieBPE:
         self.tails = {t[i:]: -1 for t in self.by_bytes for i in range(len(t))} | self.by_bytes
         self.text = list(map(str, range(size)))
         self.split = regex.compile(SPLIT)
-        self.spaces = regex.compile(r" \s|\0")
+        self.spaces = re.compile(r" \s|\0")
+        self.border = re.compile(r" (?=\S)")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.words: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
@@ -94,7 +97,7 @@ class TrieBPE:
             else:
                 limit, y = b + 1, self.left[y]
 
-    def encode_words(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+    def encode_words(self, words: Iterable[bytes]) -> dict[bytes, tuple[int, ...]]:
         """Encodings of distinct words."""
         out: dict[bytes, tuple[int, ...]] = {}
         get, stands = self.tails.get, self.stands
@@ -129,19 +132,13 @@ class TrieBPE:
         """The text in pieces that are encoded apart: cut before single spaces where the split pattern cuts for certain."""
         if not self.spaces.search(text):
             out = text.replace(" ", "\0 ").split("\0")
-            return out if out[0] else out[1:]
-        parts = text.split(" ")
-        out = parts[:1]
-        for p in parts[1:]:
-            if p and not p[0].isspace():
-                out.append(" " + p)
-            else:  # white space goes on: it stays with what is before
-                out[-1] += " " + p
+        elif "\0" not in text:  # white space that goes on stays with what is before
+            out = self.border.sub("\0 ", text).split("\0")
+        else:
+            at = [0, *(m.start() for m in self.border.finditer(text)), len(text)]
+            out = [text[a:b] for a, b in zip(at, at[1:])]
         return out if out[0] else out[1:]
 
-    def split_piece(self, piece: str) -> list[bytes]:
-        return [piece.encode()] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else [w.encode() for w in self.split.findall(piece)]
-
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         """Ids of each text."""
         cut = [[p if i % 2 else self.pieces(p) for i, p in enumerate(self.cut.split(t))] if self.cut and self.cut.search(t) else [self.pieces(t)] for t in texts]
@@ -158,18 +155,23 @@ class TrieBPE:
         """Encodings of distinct pieces, from the two halves of the table or else from a trie of what is new."""
         if len(self.words) + len(pieces) > CACHE_WORDS // 2 or self.held > CACHE_BYTES // 2:
             self.older, self.words, self.held = self.words, {}, 0
-        words, older, new = self.words, self.older, []
-        for p in pieces.difference(words):
-            if (ids := older.get(p)) is None:
-                new.append(p)
-            else:
-                words[p] = ids
-                self.held += _WORD_BYTES + len(p) + 8 * len(ids)
-        split = {p: self.split_piece(p) for p in new}
-        ids = self.encode_words(list(set(chain.from_iterable(split.values()))))
+        words, older = self.words, self.older
+        new = pieces.difference(words)
+        again = new.intersection(older)
+        words.update(zip(again, map(older.__getitem__, again)))
+        new -= again
+        # letters after at most one space are one word; words of other pieces are often known as pieces
+        plain = {p for p in new if p[1:].isalpha() and (p[0] == " " or p[0].isalpha())}
+        split = {p: self.split.findall(p) for p in new - plain}
+        parts = {w: words.get(w) or older.get(w) for w in set(chain.from_iterable(split.values()))}
+        fresh = {w: w.encode() for w in plain.union(w for w, ids in parts.items() if ids is None)}
+        ids = self.encode_words(fresh.values())
+        parts.update(zip(fresh, map(ids.__getitem__, fresh.values())))
+        words.update(zip(plain, map(parts.__getitem__, plain)))
         for p, ws in split.items():
-            words[p] = own = ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws)))
-            self.held += _WORD_BYTES + len(p) + 8 * len(own)
+            words[p] = parts[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(parts.__getitem__, ws)))
+        for some in (again, new):
+            self.held += _WORD_BYTES * len(some) + sum(map(len, some)) + 8 * sum(map(len, map(words.__getitem__, some)))
         return words
 
     def decode_bytes(self, ids: list[int]) -> bytes:
