@@ -45,9 +45,13 @@ def test_tables_that_begin_anew_lose_nothing(emails, monkeypatch):
     grams.of("one two three four ", True)
     monkeypatch.setattr(replay, "KEPT_GRAMS", 3)
     assert grams.full()
-    before = [grams.cells[k][ids].tolist() for k, (ids, _) in enumerate(grams.of("one two three four ", True)[1])]
+    grams.learn()
+    found = grams.of("one two three four ", True)[1]
+    before = [grams.cells[k][ids].tolist() for k, (ids, _) in enumerate(found)]
     grams.clear()
-    assert [grams.cells[k][ids].tolist() for k, (ids, _) in enumerate(grams.of("one two three four ", True)[1])] == before
+    found = grams.of("one two three four ", True)[1]
+    grams.learn()
+    assert [grams.cells[k][ids].tolist() for k, (ids, _) in enumerate(found)] == before
 
 
 def test_no_shuffle_of_n_grams(emails):
@@ -59,3 +63,13 @@ def test_no_shuffle_of_n_grams(emails):
 def test_no_emails(emails):
     assert models.score(splits.windows(emails.where("seq < 0"), 1), CONFIGS).count() == 0
     assert models.score(splits.windows(emails.where("seq < 0"), 1).withColumn("trains", F.lit(True)), CONFIGS, "split").count() == 0
+
+
+def test_md5_of_many_keys():
+    import hashlib
+
+    from tallyflow.functions.hashing import md5_first
+
+    keys = ["", "a", "0:x", "é 日本", *("k" * n for n in range(40, 130)), "é" * 30, *(str(i) for i in range(5000))]
+    want = [[int(hashlib.md5(p + k.encode()).hexdigest()[:8], 16) for k in keys] for p in (b"", b"0:", b"11:")]
+    assert md5_first(keys, [b"", b"0:", b"11:"]).tolist() == want
