@@ -4,16 +4,23 @@ Each batch is scored on the counters of all batches before it, its scores are ap
 number. Counters are additive but adding twice is not harmless, so a batch owns its folder (`batch=<n>`, overwritten by a retry) and a
 batch reads only folders of smaller numbers: results are the same whether a batch runs once or again.
 
+A backlog can come in micro-batches of many windows: rows then have their window's number (`slot`), and each window is scored on the
+counters of all windows before it, of its own micro-batch too. A micro-batch's cost hardly depends on its number of windows.
+
 Every COMPACT batches the folders so far are summed into one base, so a batch reads one base and few folders.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyflow.functions import hashing, tokens
-from tallyflow.operators.models import Config, posterior
+from tallyflow.operators import replay
+from tallyflow.operators.models import Config, posterior, replayed_scores
+from tallyflow.sources.shared import discard
 
 COMPACT = 50
 _COUNTERS = "i int, bucket bigint, s bigint, h bigint"
@@ -46,7 +53,7 @@ class StreamingModel:
         return self._state("totals", _TOTALS, batch).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("ns", "nh", "ts", "th")))
 
     def process(self, emails: DataFrame, batch: int) -> None:
-        """emails: doc_id, body, spam. For foreachBatch."""
+        """emails: doc_id, body, spam (and slot, where a micro-batch has many windows). For foreachBatch."""
         c = self.config
         if batch and batch % self.compact == 0:
             before = batch - self.compact
@@ -55,6 +62,8 @@ class StreamingModel:
                 parts = [*([old] if before else []), *(f"{self.path}/{kind}/batch={b}" for b in range(before, batch))]
                 summed = self.spark.read.schema(schema).parquet(*parts).groupBy(*keys).agg(*(F.sum(x).alias(x) for x in [f.split(" ")[0] for f in schema.split(", ")] if x not in keys))
                 summed.write.mode("overwrite").parquet(f"{self.path}/{kind}-base/batch={batch}")
+        if "slot" in emails.columns:
+            return self._windows(emails, batch)
         emails = emails.persist()
         try:
             tf = tokens.ngrams(emails, c.ngram, keep=("doc_id", "spam")).groupBy("doc_id", "spam", "ng").agg(F.count("*").alias("tf"))
@@ -72,6 +81,30 @@ class StreamingModel:
         finally:
             emails.unpersist()
 
+    def _windows(self, emails: DataFrame, batch: int) -> None:
+        if not replay.fits([self.config], self.hash_mode):
+            raise ValueError("counters of this size take a micro-batch a window")
+        layout, b = replay.Layout([self.config]), self.config.log_buckets
+        base = np.zeros((2, layout.size), np.int64)  # of ham, then spam
+        for r in self.counters(batch).toLocalIterator():
+            base[:, (r.i << b) + r.bucket] = r.h, r.s
+        t = self.totals(batch).first()
+        base[:, layout.totals] = [[t.nh, t.th], [t.ns, t.ts]]
+        rows = emails.select("doc_id", F.lit(0).cast("long").alias("seq"), F.col("spam").cast("long").alias("spam"), "slot", F.lit(True).alias("trains"), "body")
+        parts = replay.parts(rows, layout, "prequential", self.hash_mode, (base[0], base[1]))
+        replayed_scores(parts, layout).select("doc_id", "spam", "score", "slot").write.mode("overwrite").parquet(f"{self.path}/scores/batch={batch}")
+        discard(parts)
+        h, s = replay.counted(emails.select(F.col("spam").cast("long").alias("spam"), "body"), layout, self.hash_mode)
+        at = np.flatnonzero((h + s)[: layout.counters])
+        found = pd.DataFrame({"i": (at >> b).astype("int32"), "bucket": at & ((1 << b) - 1), "s": s[at], "h": h[at]})
+        self.spark.createDataFrame(found, _COUNTERS).write.mode("overwrite").parquet(f"{self.path}/counters/batch={batch}")
+        docs, grams = layout.totals
+        self.spark.createDataFrame([tuple(int(x) for x in (s[docs], h[docs], s[grams], h[grams]))], _TOTALS).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
+
+    def windows(self) -> DataFrame:
+        """slot, doc_id, spam, score so far, of micro-batches of many windows."""
+        return self.spark.read.option("basePath", f"{self.path}/scores").schema("doc_id bigint, spam bigint, score double, slot bigint, batch int").parquet(f"{self.path}/scores/batch=*").drop("batch")
+
     def scores(self) -> DataFrame:
         """batch, doc_id, spam, score so far."""
         return self.spark.read.option("basePath", f"{self.path}/scores").schema("doc_id bigint, spam bigint, score double, batch int").parquet(f"{self.path}/scores/batch=*")
