@@ -73,3 +73,26 @@ def test_md5_of_many_keys():
     keys = ["", "a", "0:x", "é 日本", *("k" * n for n in range(40, 130)), "é" * 30, *(str(i) for i in range(5000))]
     want = [[int(hashlib.md5(p + k.encode()).hexdigest()[:8], 16) for k in keys] for p in (b"", b"0:", b"11:")]
     assert md5_first(keys, [b"", b"0:", b"11:"]).tolist() == want
+
+
+def test_micro_batches_of_many_windows(emails, tmp_path):
+    """Each window is scored on all before it, of its own micro-batch too; a micro-batch that runs twice changes nothing."""
+    from tallyflow.streaming.prequential import StreamingModel
+
+    c = models.Config("CM", 2, 6, 3)
+    e = splits.windows(emails.where("body IS NOT NULL"), 4)
+    want = {(r.doc_id, r.slot): r.score for r in models.score(e, [c]).collect()}
+    model = StreamingModel(emails.sparkSession, c, f"file://{tmp_path}/m", "md5", compact=2)
+    for b in (0, 1, 1, 2):
+        model.process(e.where(F.floor(F.col("slot") / 5) == b).select("doc_id", "body", "spam", "slot"), b)
+    assert {(r.doc_id, r.slot): r.score for r in model.windows().collect()} == pytest.approx(want, abs=2e-6)
+
+
+def test_experiments_score_each_stream_once(emails, tmp_path, monkeypatch):
+    """Threshold tuning and curves share the in-sample scores, sweep and calibration those of the stream."""
+    from tallyflow.plans import experiments
+
+    modes, score = [], models.score
+    monkeypatch.setattr(models, "score", lambda e, configs, mode="prequential", *a, **b: modes.append(mode) or score(e, configs, mode, *a, **b))
+    experiments.run(emails.where("body IS NOT NULL"), f"file://{tmp_path}/x", models.grid([1], [5], [2]), None, [20], "md5")
+    assert sorted(modes) == ["folds", "in_sample", "prequential", "prequential", "prequential"]
