@@ -39,13 +39,12 @@ from tallyflow.llm.common import slices, text_bytes, written
 ORDER = 5
 END = 0xFF
 MAX_NODES, MAX_WORDS = 3 << 19, 1 << 17
-#: Bytes of text scored at once.
-SLICE = 1 << 20
+#: Bytes of text whose n-grams are counted at once, and scored at once.
+SLICE, SCORED = 1 << 20, 1 << 18
 #: Distinct words or n-grams that a task holds before it passes its counts on.
 HELD = 1 << 19
 
 _PAD = bytes([END]) * ORDER
-_EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -77,18 +76,17 @@ def counted(keys: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 
 
 class Table:
-    """Open-addressing hash table from distinct integers to their positions."""
+    """Open-addressing hash table from distinct integers to their positions, which are all that its slots hold."""
 
     def __init__(self, keys: np.ndarray):
+        self.keys = keys
         self.bits = max(4, int(1.5 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, _EMPTY, np.uint64)
-        self.at = np.zeros(1 << self.bits, np.int32)
-        left, h = np.arange(len(keys)), self._hash(keys)
+        self.at = np.full(1 << self.bits, -1, np.int32)
+        left, h = np.arange(len(keys), dtype=np.int32), self._hash(keys)
         while len(left):
-            free = self.slots[h] == _EMPTY
-            self.slots[h[free]] = keys[left[free]]
-            won = self.slots[h] == keys[left]
-            self.at[h[won]] = left[won]
+            free = self.at[h] < 0
+            self.at[h[free]] = left[free]
+            won = self.at[h] == left
             left, h = left[~won], (h[~won] + 1) & ((1 << self.bits) - 1)
 
     def _hash(self, keys: np.ndarray) -> np.ndarray:
@@ -96,27 +94,30 @@ class Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Positions of the keys; -1 where there is none."""
-        out, h = np.full(len(keys), -1, np.int64), self._hash(keys)
-        seen = self.slots[h]
-        hit = seen == keys
-        out[hit] = self.at[h[hit]]
-        left = np.flatnonzero(~hit & (seen != _EMPTY))
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        h = self._hash(keys)
+        out = self.at[h]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         h = h[left]
         while len(left):
             h = (h + 1) & ((1 << self.bits) - 1)
-            seen = self.slots[h]
-            hit = seen == keys[left]
-            out[left[hit]] = self.at[h[hit]]
-            go = ~hit & (seen != _EMPTY)
+            at = self.at[h]
+            out[left] = at
+            go = (at >= 0) & (self.keys[at] != keys[left])
             left, h = left[go], h[go]
         return out
 
 
+def small(x: np.ndarray) -> np.ndarray:
+    """Counts as 32-bit integers where these and 256 more fit."""
+    return x.astype(np.int32) if x.max(initial=0) < (1 << 31) - 512 else x
+
+
 @dataclass
 class Level:
     """Contexts of one length: the bytes that followed, and what excluding them leaves of the next shorter context."""
 
-    keys: np.ndarray
     followers: Table
     count: np.ndarray
     contexts: Table
@@ -140,11 +141,11 @@ class Trie:
             parent_total, parent_distinct = total, distinct
             if k:
                 low = self.levels[-1]
-                in_parent = low.count[low.followers.find(own & np.uint64((1 << (8 * k)) - 1))]
+                in_parent = low.count[low.followers.find(own & np.uint64((1 << (8 * k)) - 1))].astype(np.int64)
                 _, excluded = counted(own >> np.uint64(8), in_parent)
                 parent = low.contexts.find(contexts & np.uint64((1 << (8 * (k - 1))) - 1))
                 parent_total, parent_distinct = low.total[parent] - excluded, low.distinct[parent] - distinct
-            self.levels.append(Level(own, Table(own), count, Table(contexts), total, distinct, parent_total, parent_distinct))
+            self.levels.append(Level(Table(own), small(count), Table(contexts), small(total), distinct.astype(np.int16), small(parent_total), parent_distinct.astype(np.int16)))
         top = self.levels[-1]
         context = top.contexts.find(own >> np.uint64(8))
         #: Most bytes are found in their longest context: one look-up.
@@ -165,7 +166,7 @@ class Trie:
             level, gram = self.levels[k], keys[left] & np.uint64((1 << (8 * (k + 1))) - 1)
             found, context = level.followers.find(gram), level.contexts.find(gram >> np.uint64(8))
             here = context >= 0
-            total, distinct = np.where(here, level.total[context], 0) if len(level.total) else np.zeros(len(left), np.int64), np.where(here, level.distinct[context], 0) if len(level.distinct) else np.zeros(len(left), np.int64)
+            total, distinct = np.where(here, level.total[context], 0) if len(level.total) else np.zeros(len(left), np.int64), np.where(here, level.distinct[context], 0) if len(level.distinct) else np.zeros(len(left), np.int16)
             if k < ORDER:
                 above, cut = self.levels[k + 1], rest >= 0
                 total[cut], distinct[cut] = above.parent_total[rest[cut]], above.parent_distinct[rest[cut]]
@@ -204,9 +205,9 @@ class Trie:
         for k, level in enumerate(self.levels):
             own, at = np.unique(gram[size == k + 1], return_index=True)
             context = np.unique((keys >> np.uint64(8)) & np.uint64((1 << (8 * k)) - 1))
-            first, last = (np.searchsorted(level.keys, (context + np.uint64(i)) << np.uint64(8)) for i in (0, 1))
+            first, last = (np.searchsorted(level.followers.keys, (context + np.uint64(i)) << np.uint64(8)) for i in (0, 1))
             held = np.concatenate([np.arange(a, b) for a, b in zip(first, last)]) if len(context) else first
-            nodes.append((np.concatenate((own, level.keys[held])), np.concatenate((n[size == k + 1][at], level.count[held]))))
+            nodes.append((np.concatenate((own, level.followers.keys[held])), np.concatenate((n[size == k + 1][at], level.count[held]))))
         return Trie(nodes).log10(keys)[0]
 
 
@@ -328,7 +329,7 @@ def _score(tables, end: float, id_col: str, text_col: str):
         trie, frequent = tables.value
         get = frequent.get
         for batch in batches:
-            for part in slices(batch, text_col, SLICE):
+            for part in slices(batch, text_col, SCORED):
                 split = [words(t) for t in text_bytes(part.column(text_col))]
                 known, base, rare = [], [], []
                 for w in split:
@@ -403,6 +404,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         values = written(gram_values(cells.select("gram").distinct(), model, tables), "gram-values").withColumnRenamed("gram", "g")
         opened = cells.join(values, F.col("gram") == F.col("g")).groupBy("o").agg(F.sum(F.col("times") * F.col("value")).alias("open_part"))
         both = both.join(opened, F.col("row") == F.col("o"), "left")
+    tables.destroy()  # what needs it is in tables: executors don't keep it
     return both.select(
         "doc_id",
         "n_tokens",

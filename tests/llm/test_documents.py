@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import re
 from collections import Counter, defaultdict
@@ -266,6 +267,19 @@ def test_ppm_keeps_every_ngram(spark, documents, monkeypatch, most):
     assert got == {i: pytest.approx(slow_ppm(train, t, ppm.ORDER), abs=1e-9) for i, t in text.items()}
 
 
+def test_ppm_trie_is_small_in_a_worker():
+    """Counts far over 32 bits stay exact; else a node takes under 48 bytes, its part of the look-up tables included."""
+    rnd = np.random.default_rng(3)
+    keys, n = ppm.counted(rnd.integers(0, 1 << 24, 100_000, dtype=np.uint64))
+    nodes = lambda n: [ppm.counted(keys & np.uint64((1 << (8 * k)) - 1), n) for k in range(1, ppm.ORDER + 2)]
+    trie = ppm.Trie(nodes(n))
+    assert len(pickle.dumps(trie, 5)) < 48 * sum(len(x.count) for x in trie.levels)
+    table = ppm.Table(keys)
+    assert (keys[table.find(keys)] == keys).all() and (table.find(keys + np.uint64(1 << 40)) == -1).all()
+    large = ppm.Trie(nodes(n << 33))
+    assert large.levels[0].total[0] == n.sum() << 33 and large.levels[-1].count.max() == n.max() << 33
+
+
 def test_ppm_without_training_or_rows(spark, documents):
     df = documents([(1, "ab"), (2, None)])
     rows = {r.doc_id: r for r in ppm.score(df, ppm.train(df, F.lit(False))).collect()}
