@@ -96,3 +96,27 @@ def test_experiments_score_each_stream_once(emails, tmp_path, monkeypatch):
     monkeypatch.setattr(models, "score", lambda e, configs, mode="prequential", *a, **b: modes.append(mode) or score(e, configs, mode, *a, **b))
     experiments.run(emails.where("body IS NOT NULL"), f"file://{tmp_path}/x", models.grid([1], [5], [2]), None, [20], "md5")
     assert sorted(modes) == ["folds", "in_sample", "prequential", "prequential", "prequential"]
+
+
+def test_folds_and_in_sample_in_one_pass(emails, monkeypatch):
+    """The emails' n-grams are taken twice for both scores (to count and to score), and both are as each alone."""
+    monkeypatch.setattr(replay, "CHUNK", 7)
+    e = splits.folds(emails)
+    alone = _rows(models.score(e, CONFIGS, "folds")), _rows(models.score(e.withColumn("slot", F.lit(0).cast("long")), CONFIGS, "in_sample"))
+    calls, parts = [], replay.parts
+    monkeypatch.setattr(replay, "parts", lambda *a, **b: calls.append(1) or parts(*a, **b))
+    both = models.score_folds_and_in_sample(e, CONFIGS)
+    assert tuple(map(_rows, both)) == alone and len(calls) == 1
+    monkeypatch.setattr(replay, "fits", lambda *_: False)
+    assert [[r[:-1] for r in _rows(x)] for x in models.score_folds_and_in_sample(e, CONFIGS)] == [[r[:-1] for r in x] for x in alone]
+
+
+def test_parameter_search_takes_two_scorings(spark, emails, monkeypatch):
+    """Cross-validation and threshold tuning share one, the evaluation has its own."""
+    from tallyflow.plans import queries
+
+    calls, parts = [], replay.parts
+    monkeypatch.setattr(replay, "parts", lambda *a, **b: calls.append(1) or parts(*a, **b))
+    monkeypatch.setattr(queries, "emails", lambda *_: emails.where("body IS NOT NULL"))
+    monkeypatch.setattr(queries, "GRID", models.grid([1], [5], [2]))
+    assert queries.parameter_search(spark, "").count() == 12 and len(calls) == 2
