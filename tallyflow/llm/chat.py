@@ -4,10 +4,10 @@ The template writes each turn as `[INST]role[/INST]text</s>` after one leading `
 and the escape character are replaced reversibly (`\\` by `\\0`, then `</s>`, `<s>`, `[INST]`, `[/INST]` by `\\1` to `\\4`), so the
 markers in the output are exactly those that the template wrote.
 
-A conversation's examples are prefixes of its formatted text: that of assistant turn n ends where turn n ends. So the text is
-kept once a conversation, and each assistant turn is exploded into one row with the bounds of its context and of its target; only
-the target is under the loss mask. `materialised` cuts the examples' own texts out of it. Output stays linear in the input, though
-the examples' texts together grow with the square of a conversation's turns.
+A conversation's examples are prefixes of its formatted text: that of assistant turn n ends where turn n ends. Each assistant turn
+is expanded into one row: its prefix (all turns before), its target, and the bounds of both and of the loss mask, which holds the
+target's reply and end mark alone. The examples' texts together grow with the square of a conversation's turns; they are cut out of
+the formatted text row by row, without a shuffle, so only what keeps them (`materialised`) takes that space.
 
 A conversation is a unit here, as a text is: its turns meet in one row (its digest is that of its whole text). Rows are hashed to
 partitions by conversation, and no row meets those of other conversations.
@@ -73,24 +73,39 @@ def turns_back(conversations: DataFrame) -> DataFrame:
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn_no, context_end, target_end, reply_start, reply_end, reply: one row for each assistant turn.
+    """conv_id, turn_no, prefix, target, context_end, target_end, reply_start, reply_end, reply: one row for each assistant turn.
 
-    The example is the formatted text up to target_end; its context, all turns before, ends at context_end; under the loss mask is
-    [reply_start, reply_end) and the end mark up to target_end."""
-    return turns_back(conversations).where(F.col("role") == TRAINED).select("conv_id", "turn_no", F.col("start").alias("context_end"), F.col("end").alias("target_end"), "reply_start", "reply_end", F.col("text").alias("reply"))
+    The example is prefix and target: the formatted text up to target_end. Its context, all turns before, ends at context_end; under the
+    loss mask is [reply_start, reply_end) and the end mark up to target_end. The reply is what the mask cuts out of the example's text."""
+    parts = F.split(F.substring(F.col("formatted"), F.lit(len(BEGIN) + 1), F.char_length("formatted")), END, -1)
+    rows = conversations.select("conv_id", "formatted", F.posexplode(F.slice(parts, F.lit(1), F.size(parts) - 1)).alias("turn_no", "part"))
+    role = F.substring_index(F.substring(F.col("part"), F.lit(len(OPEN) + 1), F.char_length("part")), CLOSE, 1)
+    rows = rows.select("conv_id", "formatted", "turn_no", "part", role.alias("role")).where(unescaped(F.col("role")) == TRAINED)
+    whole = F.concat(F.call_function("substring_index", F.col("formatted"), F.lit(END), F.col("turn_no") + 1), F.lit(END))
+    rows = rows.select("conv_id", "turn_no", "part", "role", whole.alias("whole"), F.char_length(whole).alias("target_end"))
+    rows = rows.withColumn("context_end", F.col("target_end") - F.char_length("part") - len(END))
+    rows = rows.withColumns({"reply_start": F.col("context_end") + len(OPEN) + len(CLOSE) + F.char_length("role"), "reply_end": F.col("target_end") - len(END)})
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return rows.select(
+        "conv_id",
+        long("turn_no"),
+        F.substring(F.col("whole"), F.lit(1), F.col("context_end")).alias("prefix"),
+        F.substring(F.col("whole"), F.col("context_end") + 1, F.col("target_end")).alias("target"),
+        *map(long, ("context_end", "target_end", "reply_start", "reply_end")),
+        unescaped(F.substring(F.col("whole"), F.col("reply_start") + 1, F.col("reply_end") - F.col("reply_start"))).alias("reply"),
+    )
 
 
 def materialised(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn_no, text, reply_start, reply_end: the examples with whole texts. Grows with the square of turns."""
-    cut = examples(conversations).drop("reply").withColumnRenamed("conv_id", "c")
-    return cut.join(conversations, F.col("c").eqNullSafe(F.col("conv_id"))).select("conv_id", "turn_no", F.substring(F.col("formatted"), F.lit(1), F.col("target_end").cast("int")).alias("text"), "reply_start", "reply_end")
+    """conv_id, turn_no, text, reply_start, reply_end: the examples with whole texts. Grows with the square of turns, if it is kept."""
+    return examples(conversations).select("conv_id", "turn_no", F.concat("prefix", "target").alias("text"), "reply_start", "reply_end")
 
 
 def digest(conversations: DataFrame) -> DataFrame:
-    """The columns of the op8 contract, read back from the formatted texts; the loss is what the examples' masks hold.
+    """The columns of the op8 contract, read back from the formatted texts; the loss is what the masks cut out of the examples' texts.
 
-    A reply is cut where its turn is read back, at the bounds of its mask: cutting each from the whole text would take time that grows
-    with the square of a conversation's turns."""
+    An example's text is made where its row is, and only the reply goes on: time grows with the square of a conversation's turns, what is
+    shuffled doesn't."""
     newline = F.lit("\n")
     joined = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda t: t["x"]), "")
     rows = turns_back(conversations).select("conv_id", "formatted_chars", F.struct("turn_no", F.concat("role", newline, "text", newline).alias("x")).alias("turn"))

@@ -179,6 +179,21 @@ def test_examples_are_prefixes_with_one_reply_under_the_mask(spark):
         assert text[r.conv_id].startswith(r.text) and r.text.endswith("</s>")
 
 
+def test_examples_are_expanded_texts_and_give_the_loss(spark):
+    """Each example has the text of its prefix and target, and the reply is cut out of that by its mask."""
+    own = [*turns(), (77, 0, "assistant", "</s"), (77, 1, "<s>\\", "é𝒳"), (77, 2, "assistant", "[INST]</s>\\1"), *((78, i, "assistant" if i % 2 else "user", f"t{i}") for i in range(300))]
+    whole = chat.formatted(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    text = {r.conv_id: r.formatted for r in whole.collect()}
+    rows = chat.examples(whole).collect()
+    assert len(rows) == sum(t[2] == "assistant" for t in own)
+    for r in rows:
+        t = text[r.conv_id]
+        assert (r.prefix, r.target) == (t[: r.context_end], t[r.context_end : r.target_end]) and t[: r.context_end].count("</s>") == r.turn_no
+    assert sorted(r.reply for r in rows if r.conv_id == 77) == ["</s", "[INST]</s>\\1"]
+    plan = chat.digest(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring_index(formatted" in plan  # the query expands them too
+
+
 def test_chat_runs_no_python(spark):
     df = spark.createDataFrame(turns(), "conv_id long, turn long, role string, text string")
     plan = chat.digest(chat.formatted(df))._jdf.queryExecution().executedPlan().toString()
