@@ -25,10 +25,11 @@ from __future__ import annotations
 import json
 import os
 import struct
+import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,10 +44,14 @@ from tallyflow.llm.common import filesystem, shared_folder, slices, without_cycl
 
 MAGIC, TAIL = b"TFPL0001", b"TFPLEND1"
 BLOCK_IDS = 1 << 16
-#: Bytes of pieces' ids that a worker keeps; the half used least lately goes first.
-CACHE_BYTES = 192 << 20
-#: Of a piece in the table: its string, its ids and its place.
-_PIECE_BYTES = 190
+#: Ids in the files that a task reads.
+READ_IDS = 1 << 20
+#: Bytes of pieces and their ids that a worker keeps; the half used least lately goes first.
+CACHE_BYTES = 96 << 20
+#: Of a piece in the table, besides its string and its ids.
+_PLACE_BYTES = 90
+#: Characters of texts whose pieces are looked up before the table's size is looked at, and of pieces whose library encodings are held at once.
+TEXT_CHARS, LIBRARY_CHARS = 1 << 20, 1 << 16
 _SPACES = str.maketrans("\n\r\t", "   ")
 
 
@@ -134,6 +139,18 @@ class Reader:
             del held[: 4 * n]
 
 
+def _groups(texts: list[str], most: int) -> Iterator[list[str]]:
+    """texts in runs of at most so many characters (one text may be longer)."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if held and held + len(t) > most:
+            yield texts[start:i]
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield texts[start:]
+
+
 class _Pieces(dict):
     """Ids of pieces, made where they are first looked up. Of two generations, the one used least lately goes first."""
 
@@ -145,12 +162,12 @@ class _Pieces(dict):
         return self.keep(piece, self.make(piece) if (ids := self.older.get(piece)) is None else ids)
 
     def keep(self, piece: str, ids: bytes) -> bytes:
-        self.held += _PIECE_BYTES + 2 * len(piece)
+        self.held += _PLACE_BYTES + sys.getsizeof(piece) + sys.getsizeof(ids)
         self[piece] = ids
         return ids
 
     def age(self) -> None:
-        """To be called between slices of text: bounds both generations to CACHE_BYTES."""
+        """To be called between groups of texts: bounds both generations to CACHE_BYTES."""
         if self.held > CACHE_BYTES // 2:
             self.older, self.held = dict(self), 0
             self.clear()
@@ -193,7 +210,13 @@ class PieceEncoder:
         return True
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        self.pieces.age()
+        out: list[bytes] = []
+        for some in _groups(texts, TEXT_CHARS):
+            self.pieces.age()
+            out += self._encode(some)
+        return out
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         get, out, rest = self.pieces.__getitem__, [], []
         for i, text in enumerate(texts):
             if self._is_plain(text):
@@ -210,8 +233,7 @@ class PieceEncoder:
     def _by_library(self, pieces: set[str]) -> None:
         """Brings pieces that need the whole library into the table."""
         whole = [p for p in pieces if p not in self.pieces and p not in self.pieces.older and not (self._is_plain(p) and p == p.lower())]
-        for i in range(0, len(whole), 4096):
-            some = whole[i : i + 4096]
+        for some in _groups(whole, LIBRARY_CHARS):
             for p, x in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
                 self.pieces.keep(p, array("I", x.ids).tobytes())
 
@@ -256,7 +278,7 @@ def write(docs: DataFrame, vocabulary: str, folder: str | None = None, end_id: i
     folder = folder or shared_folder(docs.sparkSession, "token-files")
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key")).repartitionByRange("doc_id", "text_key").sortWithinPartitions("doc_id", "text_key")
     manifest = ordered.mapInArrow(_write(folder, vocabulary, end_id, unit, block_ids), "file string, first_id long, first_key long, n_docs long, n_tokens long")
-    return folder, written(manifest, "token-manifest")
+    return folder, written(manifest.repartition(1), "token-manifest")  # a row a file
 
 
 def _read(folder: str, make):
@@ -284,9 +306,11 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _with_starts(manifest: DataFrame) -> DataFrame:
-    """One row a file, each to be read by its own task. The window without partitions has as many rows as there are files."""
+    """One row a file; small files are read together, READ_IDS by a task. The window without partitions has as many rows as there are files."""
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_key", "file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition(max(1, manifest.count()))
+    files, ids = manifest.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    tasks = min(files, max(manifest.sparkSession.sparkContext.defaultParallelism, -(-ids // READ_IDS)))
+    return manifest.select("file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).repartition(max(1, tasks))
 
 
 def read(folder: str, manifest: DataFrame) -> DataFrame:

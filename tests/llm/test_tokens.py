@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -108,3 +109,36 @@ def test_files_operator(spark, documents):
     ids = {r.doc_id: r.ids for r in tokenfile.read(folder, manifest).collect()}
     assert all(np.array(ids[i], "<u4").tobytes() == by[i] for i in by)
     assert tokenfile.digest(*tokenfile.write(documents([]), path)).count() == 0
+
+
+@pytest.mark.parametrize("letters", ["漢字仮名交文" * 5, "abcdefghijklm"])
+def test_piece_table_keeps_to_its_bytes(monkeypatch, letters):
+    """Pieces of any length and script, with their ids, count by what they take, also within one call."""
+    monkeypatch.setattr(tokenfile, "CACHE_BYTES", 1 << 20)
+    monkeypatch.setattr(tokenfile, "TEXT_CHARS", 20_000, raising=False)
+    path, rnd = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    texts = [" ".join("".join(rnd.choices(letters, k=rnd.randint(5, 60))) for _ in range(50)) for _ in range(300)]
+    own = tokenfile.PieceEncoder(path)
+    got = own.encode(texts)
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for table in (own.pieces, own.pieces.older) for k, v in table.items())
+    assert held <= 1.2 * (1 << 20)
+    want = Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)
+    assert got == [np.array(x.ids, "<u4").tobytes() for x in want]
+
+
+def test_small_files_share_tasks(spark, documents, monkeypatch):
+    """The manifest is one file, and files of few ids are read together: each task that writes in the JVM starts processes there."""
+    monkeypatch.setattr(tokenfile, "READ_IDS", 1 << 20, raising=False)
+    put = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in put}
+    for k, v in put.items():
+        spark.conf.set(k, v)
+    try:
+        folder, manifest = tokenfile.write(documents([(i, f"text {i}") for i in range(400)]), public_tokenizers.path("word_bpe_49k.json"))
+        found = tokenfile.digest(folder, manifest)
+        assert manifest.count() > spark.sparkContext.defaultParallelism and len(manifest.inputFiles()) == 1
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert [r.doc_id for r in found.orderBy("start").collect()] == list(range(400))
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
