@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tallyflow.operators import models, replay, splits
+from tallyflow.functions import metrics
+from tallyflow.operators import models, replay, splits, tuning
 
 CONFIGS = models.grid([1, 2, 3], [4, 7], [2, 4])
 BODIES = ["", "a", " ", "\n\n", "free money now ", "free\nmoney now", "x y\nx y\nx y ", "é 日本 𝒳 end", "a" * 3000, None]
@@ -120,3 +121,32 @@ def test_parameter_search_takes_two_scorings(spark, emails, monkeypatch):
     monkeypatch.setattr(queries, "emails", lambda *_: emails.where("body IS NOT NULL"))
     monkeypatch.setattr(queries, "GRID", models.grid([1], [5], [2]))
     assert queries.parameter_search(spark, "").count() == 12 and len(calls) == 2
+
+
+@pytest.mark.parametrize("sizes, chunk, hash_mode", [([1, 4, 6], 1, "md5"), ([5, 20], 7, "xxhash"), ([3, 200], 1, "md5")])
+def test_window_sizes_share_one_pass(emails, monkeypatch, sizes, chunk, hash_mode):
+    """Every size as it is by itself, chunks that begin inside of windows too; the texts aren't dealt once for each."""
+    want = {w: _rows(models.score(splits.windows(emails, w), CONFIGS, hash_mode=hash_mode)) for w in sizes}
+    monkeypatch.setattr(replay, "CHUNK", chunk)
+    monkeypatch.setattr(replay, "OPEN", 2)
+    monkeypatch.setattr(replay, "parts", None)
+    found = models.score_windows(replay.in_order(emails), CONFIGS, sizes, hash_mode)
+    for w in sizes:
+        rows = _rows(found[w])
+        assert [r[:-1] for r in rows] == [r[:-1] for r in want[w]] and len(rows) == 60 * len(CONFIGS)
+        assert all(a[-1] == pytest.approx(b[-1], abs=2e-6) for a, b in zip(rows, want[w]))
+
+
+def test_learning_curves_deal_texts_once(emails, monkeypatch):
+    few = [CONFIGS[0], CONFIGS[-1]]
+    monkeypatch.setattr(replay, "parts", None)
+    found = {tuple(r) for r in tuning.learning_curves(emails, few, [7, 20]).collect()}
+    monkeypatch.undo()
+    want = {(w, *r) for w in (7, 20) for r in map(tuple, tuning.cumulative(models.score(splits.windows(emails, w), few), tuning.KEYS).select(*tuning.KEYS, F.col("slot").alias("step"), "num_examples", *metrics.RATES).collect())}
+    assert found == want
+
+
+def test_window_sizes_over_gaps(emails):
+    gaps = emails.where("seq % 10 <> 3")
+    found = models.score_windows(replay.in_order(gaps), CONFIGS[:2], [10], "md5")[10]
+    assert _rows(found) == _rows(models.score(splits.windows(gaps, 10), CONFIGS[:2]))
