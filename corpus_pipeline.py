@@ -29,7 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group linked by a similarity of 0.8 or more on five-word shingles."""
+    """The document with the smallest id of each group linked by a similarity of 0.8 or more on five-word shingles: candidates by
+    SimHash and by MinHash bands beside it, verified on the whole sets."""
     importable(spark)
     return simhash.representatives(docs, find=shingles.near_duplicates)
 

@@ -1,11 +1,12 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands for candidates, verified exactly.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash and, beside it, MinHash bands for candidates, verified exactly.
 
 A text is the set of its WORDS-word shingles (lower-cased A-Z, white space as in SimHash, hashed to 64 bits). Two texts are linked if
-their sets' Jaccard similarity is LEAST or more. Candidates come from BANDS bands of ROWS minimums each: a pair of similarity s meets
-in some band but for a probability of (1 - s^ROWS)^BANDS, which is 8e-6 at 0.8 and falls quickly above.
+their sets' Jaccard similarity is LEAST or more. Candidates are sets whose SimHash fingerprints differ in 3 bits or fewer (`simhash.links`:
+covering tables, no such pair is missed), and, since most pairs of similarity 0.8 differ in more, those of BANDS bands of ROWS minimums each:
+a pair of similarity s meets in some band but for a probability of (1 - s^ROWS)^BANDS, which is 8e-6 at 0.8 and falls quickly above.
 
-Equal sets collapse first. A bucket links its members to the smallest, so candidate links are as many as bucket entries at most. Only
-texts that share a bucket have their sets sent, once for each block pair of their candidate component: a component is cut into blocks
+Equal sets collapse first. A bucket links its members to the smallest, so candidate links are as many as bucket entries at most, and
+SimHash adds one link a fingerprint and table at most. Only texts that share a bucket have their sets sent, once for each block pair of their candidate component: a component is cut into blocks
 of about BLOCK shingles and each two blocks meet in one task, which compares all pairs of whole sets and passes on a spanning forest. No bucket or
 component is capped.
 
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyflow.llm import simhash
 from tallyflow.llm.common import map_text, text_bytes, written
 from tallyflow.llm.components import connected_components
 
@@ -69,7 +71,7 @@ def _sketches(id_col: str, text_col: str):
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles(t) for t in text_bytes(batch.column(text_col))]
         keys = np.array([key_of(s) for s in sets], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(keys), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(keys), pa.array(np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "key", "fp", "bands"])
 
     return part
 
@@ -128,16 +130,25 @@ def _verified(batches):
     yield links(keys, sets)
 
 
+def simhash_links(firsts: DataFrame) -> DataFrame:
+    """key, least: links that connect the distinct sets (key, fp) whose fingerprints are within SimHash's radius."""
+    of_fp = written(firsts.groupBy("fp").agg(F.min("key").alias("of")), "fingerprints")
+    same = firsts.select("key", "fp").join(of_fp, "fp").where("key <> of").select("key", F.col("of").alias("least"))
+    a, b = (of_fp.select(F.col("fp").alias(c), F.col("of").alias(n)) for c, n in (("a", "key"), ("b", "least")))
+    return same.unionByName(simhash.links(of_fp.select("fp")).join(a, "a").join(b, "b").select("key", "least"))
+
+
 def candidates(firsts: DataFrame) -> DataFrame:
-    """key, root of the distinct sets (key, bands) that share a bucket, directly or by others."""
+    """key, root of the distinct sets (key, fp, bands) that SimHash links or that share a bucket, directly or by others."""
     probes = firsts.select("key", F.explode("bands").alias("band"))
-    links = probes.select("key", F.min("key").over(Window.partitionBy("band")).alias("least")).where("key <> least").distinct()
+    shared = probes.select("key", F.min("key").over(Window.partitionBy("band")).alias("least")).where("key <> least")
+    links = simhash_links(firsts.where(F.size("bands") > 0)).unionByName(shared).distinct()  # the empty set is like no other
     roots = connected_components(links, "key", "least")
     return written(roots.select(F.col("node").alias("key"), "root").unionByName(roots.select(F.col("root").alias("key"), "root").distinct()), "candidates")
 
 
 def verified_links(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """a, b: links that connect the sets of similarity LEAST or more; firsts has key, first (an id) and bands."""
+    """a, b: links that connect the sets of similarity LEAST or more; firsts has key, first (an id), fp and bands."""
     of = candidates(firsts)
     ids = firsts.join(of, "key").select(F.col("first").alias("wanted")).distinct()
     texts = docs.select(id_col, text_col).join(ids, F.col(id_col).eqNullSafe(F.col("wanted")), "left_semi").select(F.col(text_col).cast("string").alias("text"))
@@ -151,9 +162,9 @@ def verified_links(docs: DataFrame, firsts: DataFrame, id_col: str = "doc_id", t
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, component_id of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
-    found = map_text(docs.select(id_col, text_col), partial(_sketches, id_col, text_col), f"doc_id {kind}, key long, bands array<long>", text_col)
+    found = map_text(docs.select(id_col, text_col), partial(_sketches, id_col, text_col), f"doc_id {kind}, key long, fp long, bands array<long>", text_col)
     found = written(found, "sketches")
-    firsts = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")), "distinct-sets")
+    firsts = written(found.groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "distinct-sets")
     roots = connected_components(verified_links(docs, firsts, id_col, text_col))
     members = written(firsts.join(roots, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("root", "key").alias("root")), "members")
     least = members.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id")).hint("rebalance")

@@ -48,7 +48,11 @@ def fingerprint(text: bytes | None) -> int:
         starts = np.concatenate(([0], ends[:-1]))
         h = xxhash.xxh64_intdigest
         hashes = [h(joined[a:b], SEED) for a, b in zip(starts[: 1 - SHINGLE].tolist(), (ends[SHINGLE - 1 :] - 1).tolist())]
-    a = np.array(hashes, np.uint64)
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(a: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; zero of none."""
     count = np.zeros(BITS, np.int64)
     for i in range(0, len(a), 1 << 16):
         count += np.unpackbits(a[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -393,3 +393,20 @@ def test_winnowing_guarantee():
         keep = lambda x: set(decontam.gram_hashes(x, 5)[decontam.winnow(decontam.gram_hashes(x, 5))].tolist())
         inside = decontam.gram_hashes(a[5:15], 5)
         assert keep(a) & keep(b) & set(inside.tolist())
+
+
+def test_simhash_finds_candidates_beside_the_bands(spark):
+    """Sets that share no band are candidates if their fingerprints are within 3 bits, equal ones too; the empty set is none."""
+    rows = [(1, 10, 0b1011, [101]), (2, 20, 0b0000, [102]), (3, 30, 0b0000, [103]), (4, 40, 0b11110000, [104]), (5, 50, 0, []), (6, 60, -1, [105]), (7, 70, -1 << 3, [106]), (8, 80, 1 << 40 | 0xFFFF00, [104])]
+    found = {r.key: r.root for r in shingles.candidates(spark.createDataFrame(rows, "key long, first long, fp long, bands array<long>")).collect()}
+    assert found == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 4: 4, 8: 4}
+
+
+def test_near_duplicate_stage_takes_simhash(spark, documents, monkeypatch):
+    import corpus_pipeline
+
+    seen, own = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps: seen.append(fps.count()) or own(fps))
+    words = [f"w{i}" for i in range(40)]
+    kept = corpus_pipeline.near_duplicates(spark, documents([(1, " ".join(words)), (2, " ".join([*words[:-1], "other"])), (3, "quite another text of some words")]), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3] and seen
