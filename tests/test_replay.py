@@ -150,3 +150,15 @@ def test_window_sizes_over_gaps(emails):
     gaps = emails.where("seq % 10 <> 3")
     found = models.score_windows(replay.in_order(gaps), CONFIGS[:2], [10], "md5")[10]
     assert _rows(found) == _rows(models.score(splits.windows(gaps, 10), CONFIGS[:2]))
+
+
+@pytest.mark.parametrize("name", ["config_report"])
+def test_stream_queries_make_no_table_of_n_grams(spark, emails, monkeypatch, name):
+    """What filled the disk: rows of n-grams times counters. Each query deals the texts once, and rows that meet are emails."""
+    from tallyflow.plans import queries
+
+    calls, parts = [], replay.parts
+    monkeypatch.setattr(replay, "parts", lambda *a, **b: calls.append(1) or parts(*a, **b))
+    monkeypatch.setattr(models, "occurrences", None)
+    monkeypatch.setattr(queries, "emails", lambda *_: emails.where("body IS NOT NULL"))
+    assert queries.QUERIES[name](spark, "").count() > 0 and len(calls) == 1
