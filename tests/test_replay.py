@@ -152,7 +152,7 @@ def test_window_sizes_over_gaps(emails):
     assert _rows(found) == _rows(models.score(splits.windows(gaps, 10), CONFIGS[:2]))
 
 
-@pytest.mark.parametrize("name", ["config_report", "stream_curves", "calibration", "csv_round_trip", "sweep_mean_std", "best_config", "grid_search_f05"])
+@pytest.mark.parametrize("name", ["config_report", "stream_curves", "calibration", "csv_round_trip", "sweep_mean_std", "best_config", "grid_search_f05", "pivot_sweep"])
 def test_stream_queries_make_no_table_of_n_grams(spark, emails, monkeypatch, name):
     """What filled the disk: rows of n-grams times counters. Each query deals the texts once, and rows that meet are emails."""
     from tallyflow.plans import queries
